@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_classifier, quality_rules
 from .common import table
 from .exact_dedup import dedup_report
+from .license_scan import license_scan
+from .line_dedup import line_report
 from .simhash import near_duplicates
 
 
@@ -15,17 +18,47 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op8_license_scan": op8_license_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINES = "string_split(coalesce(text, ''), chr(10))"
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": f"""
+        with l as (select doc_id, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) as pos from documents),
+        k as (select doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+        d as (select key, max(doc_id) as last_id from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5)
+        select k.doc_id, count(*) as n_lines, count(*) filter (where d.key is not null and k.doc_id <> d.last_id) as n_dropped,
+            sha256(coalesce(string_agg(k.line, chr(10) order by k.pos) filter (where d.key is null or k.doc_id = d.last_id), '')) as kept_sha256
+        from k left join d on k.key = d.key group by k.doc_id""",
     "op10_exact_dedup": f"""
         with n as (select doc_id, {_AZ} as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
