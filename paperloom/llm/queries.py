@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules
+from . import quality_classifier, quality_rules, vocabulary
 from .common import table
 from .exact_dedup import dedup_report
 from .license_scan import license_scan
 from .line_dedup import line_report
 from .simhash import near_duplicates
+from .token_counts import token_counts
+from .url_filter import url_verdicts
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary.load())
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.scored(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +53,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
