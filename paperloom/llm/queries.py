@@ -13,6 +13,7 @@ from .license_scan import license_scan
 from .line_dedup import line_report
 from .sentencepiece_lattice import sampled_encodings
 from .simhash import near_duplicates
+from .source_mixing import mixing_report
 from .token_counts import token_counts
 from .url_filter import url_verdicts
 
@@ -39,6 +40,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_encodings(table(spark, sf_dir, "documents"), vocabulary.load())
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_source_mixing": op6_source_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
