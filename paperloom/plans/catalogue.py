@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import specs
 from ..functions import text as T
-from ..operators import judge, metrics, pages, planner, records, sections
+from ..operators import judge, locator, metrics, pages, planner, records, sections
 from ..sources import files, html
 from ..streaming import runtime
 from . import fixtures as X
@@ -423,6 +424,26 @@ def answers_noul(spark, sf_dir):
 # ---- records ----------------------------------------------------------------------------------------------
 
 
+@query()
+def section_locator(spark, sf_dir):
+    """Parsed sections placed in their document's text by their first and last words, in order."""
+    rows = X.documents(spark, sf_dir)
+    third = F.floor(F.length("text") / 3).cast("int")
+    parsed = F.array(F.substring(F.col("text"), F.lit(1), third), F.substring(F.col("text"), third + 1, third), F.substring(F.col("text"), 2 * third + 1, third))
+    return locator.locate(rows.select("doc_id", "text", parsed.alias("bodies"))).select("doc_id", F.posexplode("spans").alias("section", "s")).select("doc_id", "section", "s.start", "s.end")
+
+
+@query()
+def validation_findings(spark, sf_dir):
+    """What the checks of a faulty job specification find."""
+    spec = specs.JobSpec(
+        inputs=["a.pdf"], overrides={"b.pdf": {}}, ocr_languages=["xx"],
+        taxonomy=specs.Taxonomy("t", [specs.Category("a", "x" * 40_000), specs.Category("b")], reads=("busines",)),
+        question_sets=[specs.QuestionSet("risk", "1", [specs.Question("risk", "noul", "Is there risk?"), specs.Question("q", "choice", "Pick from the document.", [specs.Category(f"o{i}") for i in range(300)])])],
+    )
+    return spark.createDataFrame([(f.level, f.code, f.message) for f in specs.validate(spec)], "level string, code string, message string")
+
+
 @query(f"with {_PLAN_SQL}, texts as (select doc_id, text from filings), {_choice_sql(X.CHOICE, 'texts')}, per as (select doc_id, count(*) as n from pointers group by doc_id) select doc_id, 'ok' as status, value as category, round(confidence, 6) as confidence, n as n_sections, length(text)::bigint as n_chars from chosen join per using (doc_id)")
 def document_records(spark, sf_dir):
     """Filings to sections, an answer and a record: all in one pass, without a shuffle."""
@@ -543,7 +564,7 @@ def escalation_flags_capped(spark, sf_dir):
 
 def _requests(spark, sf_dir) -> DataFrame:
     t0 = X.table(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
-    return X.job_log(spark, sf_dir).select((F.col("key") % 8).alias("key"), "seq", (F.col("ts").cast("double") - F.lit(t0).cast("double")).alias("at"), F.col("tokens").cast("double").alias("tokens"), F.when(F.col("outcome") == "done", F.col("tokens") * 0.9).alias("actual"), (F.col("seq") % 50 == 0).alias("throttled"))
+    return X.job_log(spark, sf_dir).select((F.col("key") % 8).alias("key"), "seq", (F.col("ts").cast("timestamp").cast("double") - F.lit(t0).cast("timestamp").cast("double")).alias("at"), F.col("tokens").cast("double").alias("tokens"), F.when(F.col("outcome") == "done", F.col("tokens") * 0.9).alias("actual"), (F.col("seq") % 50 == 0).alias("throttled"))
 
 
 @query()
@@ -590,6 +611,16 @@ def activity_sessions(spark, sf_dir):
     return runtime.activity_sessions(X.job_log(spark, sf_dir))
 
 
+@query(ORACLE_SQL["throughput_tumbling"])
+def throughput_streamed(spark, sf_dir):
+    """The same windows from a stream of the events, run to its end."""
+    schema = X.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may also be one file
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("running")
+    log = stream.select("ts", outcome.alias("outcome"), (F.col("event_id") % 1000).alias("tokens"))
+    return runtime.replay(runtime.throughput(log), runtime.shared_folder(spark))
+
+
 # ---- metrics ----------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ SECTION = f"struct<keys:array<string>,label:string,form_ref:string,spans:array<{
 DECISION = "struct<ocr:boolean,step:int,reason:string,chars:int,bad_char_ratio:double,image_coverage:double,path_count:int>"
 COVERAGE = f"struct<sections:array<string>,spans:array<{SPAN}>,page_ranges:array<struct<lo:int,hi:int>>,truncated:boolean,shrunk:boolean,est_tokens:int,input_tokens:int,note:string>"
 JUDGMENT = f"struct<kind:string,value_str:string,value_num:double,probabilities:map<string,double>,confidence:double,classifier_id:string,coverage:{COVERAGE},skipped:string>"
-RECORD = StructType.fromDDL(
+RECORD = (
     "schema_version string, record_id string, job_id string, status string, "
     "errors array<struct<stage:string,code:string,message:string,page:int>>, attempts int, "
     "source struct<filename:string,format:string,sha256:string,bytes:bigint,group:string>, "
@@ -30,4 +30,4 @@ RECORD = StructType.fromDDL(
 
 def record_json_schema() -> dict:
     """The record's schema as JSON."""
-    return RECORD.jsonValue()
+    return StructType.fromDDL(RECORD).jsonValue()

@@ -6,11 +6,13 @@ group streams through the fold in batches, sorted by the shuffle, never held who
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CEILING, CUT, RISE, FLOOR, QUIET = 0.8, 0.7, 0.05, 0.05, 60.0
@@ -131,7 +133,8 @@ def leases(events: DataFrame, ttl: float = TTL_S) -> DataFrame:
 def stalls(log: DataFrame, gap_s: int = STALL_S) -> DataFrame:
     """key, ts, gap_s of successes that come gap_s seconds or more after the one before."""
     w = Window.partitionBy("key").orderBy("ts", "seq")
-    gap = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w)
+    at = F.col("ts").cast("timestamp").cast("double")
+    gap = at - F.lag(at).over(w)
     return log.withColumn("gap_s", gap).where(F.col("gap_s") >= gap_s).select("key", "ts", "gap_s")
 
 
@@ -161,6 +164,23 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all machines share; a temporary one where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loom-')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def replay(stream: DataFrame, folder: str) -> DataFrame:
+    """The final rows of a streaming aggregation over all that is available (complete mode)."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def upsert_stream(stream: DataFrame, target: str, checkpoint: str):
     """A stream of record versions; each batch replaces its own folder, so a retried batch is not counted twice."""
 
