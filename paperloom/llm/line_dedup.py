@@ -5,8 +5,8 @@ its ends, A-Z lower-cased. Keys of MIN_CHARS code points or more that are found
 lose all their lines except in the largest doc_id that holds them.
 
 1. One pass turns texts into rows (128-bit key hash, document, position); short keys send none.
-2. Counts by key, combined before the shuffle, leave the few keys that may reach MIN_DOCS; their distinct
-   documents and largest doc_id are aggregated the same way, so no key's rows meet in one task.
+2. Distinct documents by key, dealt by key and document, then counted with the largest doc_id, combined before
+   the second shuffle, leave the few keys that reach MIN_DOCS. No key's rows meet in one task.
 3. The rows of these keys, each with its key's last document, are range-partitioned by hash and document with
    a secondary sort by document (largest first) and position. A hot key spans several ranges. Streaming them
    passes over the occurrences in the last document and returns positions of the others; by document these
@@ -108,11 +108,10 @@ def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text_id, bitmap of the documents that lose lines (a null doc_id is the least long here)."""
     lines, key = stored(line_rows(docs, min_chars), "lines"), ["h1", "h2"]
-    often = lines.groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("last_id"))
-    often = often.where((F.col("n") >= min_docs) & (F.col("low") < F.col("last_id"))).select(*key, "last_id")
-    rows = lines.join(often, key)
-    held = rows.groupBy(*key, "doc_id").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs).select(*key)
-    rows = rows.join(held, key, "left_semi")
+    # Dealt by key and document, so a hot key's documents are counted in all tasks; its sums are one row a task.
+    held = lines.select(*key, "doc_id").distinct().groupBy(*key).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
+    held = held.where(F.col("n_docs") >= min_docs).select(*key, "last_id")
+    rows = lines.join(held, key)  # nothing above needs a key's rows together, so adaptive execution may split it
     ranged = rows.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     drops = ranged.mapInArrow(_stream, "doc_id long, text_id long, pos array<int>")
     return drops.groupBy("doc_id", "text_id").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "doc_id long, text_id long, bitmap binary")
