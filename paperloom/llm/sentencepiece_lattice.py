@@ -40,7 +40,7 @@ from .common import row_groups, texts_of
 from .ngrams import mix
 from .vocabulary import MARK, Vocabulary
 
-SAMPLES, SEED, POOL = 2, 7, 2_000_000
+SAMPLES, SEED, POOL = 2, 7, 600_000
 _U = np.uint64
 _STEP, _NEAR, _DEEP = _U(0x9E3779B97F4A7C15), -6.0, -6.0 - 37.0
 SCHEMA = "doc_id long, n_chars long, n_samples int, n_pieces array<long>, log_prob array<double>, log_inclusion array<double>, ids_sha256 string, round_trip boolean"
@@ -409,7 +409,7 @@ def sampled_encodings(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES,
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in row_groups(whole, most_bytes=2 << 20):
+            for batch in row_groups(whole, most_bytes=1 << 20):
                 yield report(batch)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
