@@ -149,16 +149,17 @@ def state_json(text: Column, kept: Column, reads: Column | None, metadata: dict[
     return F.to_json(F.struct(F.struct(*fields).alias("document")))
 
 
-def tokens(state: Column, chars: int, caps: Capabilities) -> Column:
+def tokens(state: Column, chars: int | Column, caps: Capabilities) -> Column:
     return (F.length(state) + chars) / caps.chars_per_token + caps.overhead
 
 
-def fit_chars(text: Column, ext: Column, pages: Column, reads: Column | None, metadata: dict[str, Column], asks: list[Ask], caps: Capabilities, shrink_from: Column | None = None) -> Column:
+def fit_chars(text: Column, ext: Column, pages: Column, reads: Column | None, metadata: dict[str, Column], asks: list[Ask] | Column, caps: Capabilities, shrink_from: Column | None = None) -> Column:
     """Characters that may be sent, so that the state and the longest ask are within the budget.
 
     JSON escapes may make a cut too long; each round takes off what was too much, and stops where nothing is.
+    asks may also be a column with the longest ask's characters.
     """
-    budgeted = longest(asks).chars
+    budgeted = longest(asks).chars if isinstance(asks, list) else asks
     nothing = F.transform(ext, lambda e: F.struct(e["key"].alias("key"), F.array(F.struct(e["start"].alias("start"), e["start"].alias("end"))).alias("spans")))
     room = caps.token_budget - tokens(state_json(text, nothing, reads, metadata), budgeted, caps)
     first = F.greatest(F.lit(0), F.floor(room * caps.chars_per_token).cast("int"))

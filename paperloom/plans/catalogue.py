@@ -689,3 +689,6 @@ def section_detection_metrics(spark, sf_dir):
     found = s.where("doc_id % 5 <> 0").withColumn("start", F.col("start") + F.col("doc_id") % 2 * 5000)
     m = metrics.section_metrics(found, s.where("doc_id % 3 <> 0"))
     return m.select("key", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "agreed")])
+
+
+from . import catalogue_jobs  # noqa: E402,F401  registers its queries in the tables above
