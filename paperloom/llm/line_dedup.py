@@ -110,8 +110,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     lines, key = stored(line_rows(docs, min_chars), "lines"), ["h1", "h2"]
     # Dealt by key and document, so a hot key's documents are counted in all tasks; its sums are one row a task.
     held = lines.select(*key, "doc_id").distinct().groupBy(*key).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id"))
-    held = held.where(F.col("n_docs") >= min_docs).select(*key, "last_id")
-    rows = lines.join(held, key)  # nothing above needs a key's rows together, so adaptive execution may split it
+    held = stored(held.where(F.col("n_docs") >= min_docs).select(*key, "last_id"), "held")
+    rows = lines.join(held, key)  # both sides as stored: adaptive execution can split a hot key's rows, or broadcast few keys
     ranged = rows.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     drops = ranged.mapInArrow(_stream, "doc_id long, text_id long, pos array<int>")
     return drops.groupBy("doc_id", "text_id").agg(F.collect_list("pos").alias("pos")).mapInArrow(_bitmaps, "doc_id long, text_id long, bitmap binary")
