@@ -28,7 +28,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at rates that bring the domains to their target weights; rates of 1 or more keep all."""
+    """Documents drawn at rates that bring the domains to their target weights; rates above 1 give several copies."""
     return mix_sources(docs, table(spark, sf_dir, "labels"))
 
 

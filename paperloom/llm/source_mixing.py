@@ -151,18 +151,23 @@ def _draw() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)
 
 
+def copies_of(rate: Column) -> Column:
+    """The rate rounded up or down at random by doc_id."""
+    return (F.floor(rate) + (_draw() < rate - F.floor(rate)).cast("long")).cast("long")
+
+
 def mixing_report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """doc_id, n_tokens, posteriors, rate, and copies (the rate rounded up or down at random by doc_id)."""
     members = stored(with_posteriors(docs.select("doc_id", "text"), classifier(docs, labels)).drop("text"), "members")
     out = members.withColumn("rate", rate(fit_rates(members, targets)))
-    copies = (F.floor("rate") + (_draw() < F.col("rate") - F.floor("rate")).cast("long")).cast("long").alias("copies")
-    return out.select("doc_id", F.col("__n").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", copies)
+    return out.select("doc_id", F.col("__n").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", copies_of(F.col("rate")).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs drawn at their rates, once at most, with the columns of docs. Texts are not shuffled:
-    the posteriors are computed again where the texts are."""
+    """The rows of docs, each as often as its copies in mixing_report, with the columns of docs. Texts are not
+    shuffled: the posteriors are computed again where the texts are."""
     model = classifier(docs, labels)
     members = stored(with_posteriors(docs.select("doc_id", "text"), model).drop("text"), "members")
     found = with_posteriors(docs, model).withColumn("__rate", rate(fit_rates(members, targets)))
-    return found.where(_draw() < F.col("__rate")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    drawn = found.withColumn("__copies", copies_of(F.col("__rate"))).where("__copies > 0")
+    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

@@ -321,6 +321,23 @@ def test_mixing_edges(edge, empty, labels):
     assert kept.columns == edge.columns and kept.count() == len(EDGE)
 
 
+def test_mixed_rows_meet_the_targets(spark):
+    """Scarce domains need rates above 1: the rows themselves, not only the rates, have the target shares."""
+    kinds = [("clean", "plain prose of a calm day", 100), ("low", "junk spam filler noise click here", 20), ("toxic", "rude vile nasty cruel hateful words", 20)]
+    rows = [(d, f"{text} own{i}") for d, (kind, text, i) in enumerate((kind, text, i) for kind, text, n in kinds for i in range(n))]
+    kind_of = dict(enumerate(kind for kind, _, n in kinds for _ in range(n)))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(d, int(k != "low"), int(k == "toxic")) for d, k in kind_of.items()], "doc_id long, quality int, toxic int")
+    targets = {"clean": 0.5, "low": 0.3, "toxic": 0.2}
+    got = collections.Counter()
+    mixed = source_mixing.mix_sources(made, known, targets).collect()
+    for r in mixed:
+        got[kind_of[r.doc_id]] += len(WORDS.findall(r.text))
+    assert all(abs(got[d] / sum(got.values()) - share) < 0.02 for d, share in targets.items())
+    copies = {r.doc_id: r.copies for r in source_mixing.mixing_report(made, known, targets).collect()}
+    assert collections.Counter(r.doc_id for r in mixed) == collections.Counter(copies)
+
+
 # ---- 8 ----
 
 
