@@ -5,7 +5,8 @@ phrase of BASE stand consecutively. The method streams the words through a suffi
 words, which gives at every word the length of the longest template passage that ends there (the matching
 statistics). Passages of MIN_MATCH words or more are chained, in template order and at most GAP words apart,
 into spans; a template's coverage is the share of its words that one chain covers. A coverage of MIN_COVERAGE
-or more adds the template's label. The score is the best coverage, or 1 where a base phrase stands.
+or more adds the template's label. A template of fewer than MIN_MATCH words is found where all its words stand
+consecutively, also within a longer passage. The score is the best coverage, or 1 where a base phrase stands.
 
 Work is one pass over words: words of no template end a match at once, and only runs of template words enter
 the automaton. Memory follows one text and the templates. Defined cases: null text counts as empty (no words,
@@ -37,6 +38,7 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("proprietary", "all rights reserved"),
     ("proprietary", "all rights reserved no part of this may be reproduced without permission"),
 )
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -116,27 +118,47 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         self.sequences = [words_of(t.encode()) for _, t in templates]
         self.automaton = SuffixAutomaton(self.sequences)
+        self.least = min((min(MIN_MATCH, len(s)) for s in self.sequences if s), default=MIN_MATCH)
+        self.short = self._short()
         self.base = [(words_of(p.encode()), label) for p, label in base.items()]
         self.first = {p[0] for p, _ in self.base}
         self.known = self.automaton.vocabulary | self.first
 
+    def _short(self) -> dict[int, list[tuple[int, int]]]:
+        """The states whose words end with a whole template of fewer than MIN_MATCH words: (template, its words)."""
+        own: dict[int, list[tuple[int, int]]] = {}
+        for k, s in enumerate(self.sequences):
+            if 0 < len(s) < MIN_MATCH:
+                *_, (state, n) = self.automaton.statistics(s)
+                own.setdefault(state, []).append((k, n))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for v in range(len(self.automaton.link)) if own else ():
+            up, found = v, []
+            while up > 0:
+                found += own.get(up, [])
+                up = self.automaton.link[up]
+            if found:
+                out[v] = found
+        return out
+
     def base_places(self, words: list[bytes], at: list[int]) -> list[tuple[int, str]]:
         return [(i, label) for i in at if words[i] in self.first for p, label in self.base if words[i : i + len(p)] == p]
 
     def matches(self, words: list[bytes], at: list[int]) -> list[Match]:
-        """Maximal passages of MIN_MATCH words or more, for every template that holds them."""
+        """Maximal passages of MIN_MATCH words or more, for every template that holds them, and shorter templates whole."""
         out, vocabulary = [], self.automaton.vocabulary
         begin = 0
         while begin < len(at):
             end = begin + 1
             while end < len(at) and at[end] == at[end - 1] + 1:
                 end += 1
-            if end - begin >= MIN_MATCH:
+            if end - begin >= self.least:
                 lo, hi = at[begin], at[end - 1] + 1
                 found = list(self.automaton.statistics(words[lo:hi]))
                 for i, (state, n) in enumerate(found):
+                    out += [Match(k, lo + i + 1 - m, 0, m) for k, m in self.short.get(state, ()) if n >= m]
                     if n >= MIN_MATCH and (i + 1 == len(found) or found[i + 1][1] <= n):
-                        out += [Match(k, lo + i + 1 - n, stop - n, n) for k, stop in sorted(self.automaton.ends[state])]
+                        out += [Match(k, lo + i + 1 - n, stop - n, n) for k, stop in sorted(self.automaton.ends[state]) if len(self.sequences[k]) >= MIN_MATCH]
             begin = end
         assert not out or vocabulary
         return out

@@ -370,6 +370,16 @@ def test_license_base_equals_brute_force(spark, docs, edge, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_every_template_and_its_short_form_is_labelled():
+    scanner = license_scan.Scanner()
+    notices = [*license_scan.TEMPLATES, ("proprietary", "All rights reserved."), ("proprietary", "© 2020 Acme. All rights reserved. No part of it"), ("proprietary", "of all rights reserved no part of this"), ("mit", "Released under the MIT License."), ("apache-2", "Licensed under the Apache License, Version 2.0."), ("gpl-3", "This work is licensed under the GNU General Public License, version 3."), ("cc-by-nc", "Licensed under CC BY-NC 4.0.")]
+    for label, notice in notices:
+        *_, labels, score = scanner.scan(f"Prose before it.\n{notice}\nprose after it".encode())
+        assert label in labels.split(",") and score >= license_scan.MIN_COVERAGE, notice
+    for text in ("all rights", "all rights are reserved", "reserved rights all", "rights reserved"):
+        assert scanner.scan(text.encode())[5:] == ("", 0.0)
+
+
 # ---- 9 ----
 
 
