@@ -13,15 +13,20 @@ Gumbel values and stay open. One more value than samples is kept: with kappa the
 log-probability p has the inclusion score 1 - exp(-exp(p - kappa)), given as a logarithm.
 
 All uniforms are hashes of (row key, round, chunk, step), so samples depend on the row alone and not on batches,
-partitions or retries. The weights of a chunk's lattice are kept for the task process in a pool of at most POOL
-characters, which is emptied when full; results do not depend on it. All steps run in numpy over many texts.
+partitions or retries. The weights of a chunk's lattice are kept for the task process in a pool; when it holds more
+than POOL characters, the chunks in use stay and the others go. Results do not depend on it. All steps run in numpy
+over many texts.
 
-Siblings deep in a text can be skipped exactly: uniforms have 53 bits, so Gumbel noise is below 37, and a node of
+Siblings deep in a text can be skipped exactly: uniforms have 52 bits, so Gumbel noise is below 37, and a node of
 log-probability p stays below p + 37. Where the values kept are not above that bound, all are drawn.
 
 Defined cases: null and empty texts are the mark alone. A text with fewer than k segmentations returns them all,
-with inclusion score 1. Repeated rows (equal doc_id and text) give equal samples; a null doc_id is a key like any
-other. Decoding gives back any text exactly: a literal mark is spelt in bytes. An empty table gives no rows.
+with inclusion score 1. Equal perturbed values are ordered by round, place and edge. Repeated rows (equal doc_id and
+text) give equal samples; a null doc_id is a key like any other. Decoding gives back any text exactly: a literal
+mark is spelt in bytes. A chunk of more than LONGEST characters without a space is cut there, so that each of its
+segmentations has a piece's end at every LONGEST-th character; its memory is then that of the text's own pieces and
+of its different stretches of LONGEST characters, some 200 bytes a character at most. An empty table gives no rows.
+Other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,14 +40,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import row_groups, texts_of
 from .ngrams import mix
 from .vocabulary import MARK, Vocabulary
 
-SAMPLES, SEED, POOL = 2, 7, 600_000
+SAMPLES, SEED, POOL, LONGEST = 2, 7, 600_000, 1 << 16
 _U = np.uint64
 _STEP, _NEAR, _DEEP = _U(0x9E3779B97F4A7C15), -6.0, -6.0 - 37.0
+#: Stands for a mark that the text itself holds: no UTF-8 text decodes to it, and no piece has it.
+_LITERAL = "\ud800"
+_NOT_TAIL = bytes([*range(0x80), *range(0xC0, 0x100)])  # bytes that begin a character
 SCHEMA = "doc_id long, n_chars long, n_samples int, n_pieces array<long>, log_prob array<double>, log_inclusion array<double>, ids_sha256 string, round_trip boolean"
 
 
@@ -53,8 +62,86 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
-    """Uniforms in (0, 1) from hashes."""
-    return ((h >> _U(11)).astype(float) + 0.5) * 2.0**-53
+    """Uniforms in (0, 1) from the upper 52 bits of hashes: all are doubles, none is 0 or 1."""
+    return ((h >> _U(12)).astype(float) + 0.5) * 2.0**-52
+
+
+class Trie:
+    """The usable pieces' prefixes as nodes: the first character's in an array, other steps in an open hash table."""
+
+    BITS = 19
+
+    def __init__(self, pieces: dict[str, int], scores: np.ndarray):
+        nodes: dict[tuple[int, str], int] = {}
+        owner: list[int] = []
+        for text, i in pieces.items():
+            at = -1
+            for c in text:
+                step = (at, c)
+                at = nodes.get(step, -1)
+                if at < 0:
+                    at = nodes[step] = len(owner)
+                    owner.append(-1)
+            owner[at] = i
+        self.piece = np.array(owner, np.int32)
+        self.score = np.where(self.piece >= 0, scores[self.piece], 0.0) if owner else np.empty(0)
+        self.first = np.full(0x110000, -1, np.int32)
+        size = 1 << max(self.BITS, len(owner).bit_length() + 2)
+        self.mask, self.down = size - 1, _U(64 - (size.bit_length() - 1))
+        self.key, self.to = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        key = np.array([p << 21 | ord(c) for p, c in nodes if p >= 0], np.int64)
+        to = np.array([n for (p, _), n in nodes.items() if p >= 0], np.int32)
+        for (p, c), n in nodes.items():
+            if p < 0:
+                self.first[ord(c)] = n
+        slot = self._slot(key)
+        while len(key):  # of those that want an empty slot one gets it; the rest go on to the next
+            free = np.flatnonzero(self.key[slot] < 0)
+            self.key[slot[free]] = key[free]
+            rest = np.flatnonzero(self.key[slot] != key)
+            got = np.flatnonzero(self.key[slot] == key)
+            self.to[slot[got]] = to[got]
+            key, to, slot = key[rest], to[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * _STEP >> self.down).astype(np.int64)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes after these characters, or -1."""
+        key = node.astype(np.int64) << 21 | code
+        slot = self._slot(key)
+        held = self.key[slot]
+        out = np.where(held == key, self.to[slot], np.int32(-1))
+        rows = np.flatnonzero((held != key) & (held >= 0))
+        while len(rows):
+            slot[rows] = at = (slot[rows] + 1) & self.mask
+            held = self.key[at]
+            hit = held == key[rows]
+            out[rows[hit]] = self.to[at[hit]]
+            rows = rows[~hit & (held >= 0)]
+        return out
+
+
+class _Numbers(dict):
+    """Chunk -> its number in the pool; a new chunk gets the next one."""
+
+    def __init__(self, chunks: list[str]):
+        super().__init__(zip(chunks, range(len(chunks)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """held with more after its first used values, in place where there is room."""
+    end = used + len(more)
+    if end > len(held):
+        held = np.concatenate([held[:used], np.empty(max(end, 2 * len(held)) - used, held.dtype)])
+    held[used:end] = more
+    return held
 
 
 class Pool:
@@ -62,92 +149,83 @@ class Pool:
 
     def __init__(self, vocabulary: Vocabulary, pool: int = POOL):
         self.v, self.limit = vocabulary, pool
-        self.longest = max((len(p) for p in vocabulary.pieces), default=1)
         self.bytes_of = [p.replace(MARK, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             self.bytes_of[i] = bytes([b])
+        self.width = np.array([len(x) for x in self.bytes_of], np.int64)
         apart = vocabulary.special | set(vocabulary.byte_ids)
-        usable = [i for i, p in enumerate(vocabulary.pieces) if p and i not in apart and p.find(MARK, 1) < 0]
-        keys = np.array([self._hash(vocabulary.pieces[i]) for i in usable], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
-        self.scores = np.array(vocabulary.scores)[self.ids]
-        slot = np.searchsorted(self.keys >> _U(44), np.arange((1 << 20) + 1, dtype=np.uint64))
-        self.slot, self.most = slot.astype(np.int32), int(np.diff(slot).max()) if len(usable) else 0
-        self.clear()
-
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = Pool._next(np.array([h], np.uint64), np.array([ord(c)], np.uint64))[0]
-        return int(h)
-
-    @staticmethod
-    def _next(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return mix(h * _STEP + c + _U(1))
-
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.start = self.size = np.empty(0, np.int64)  # of chunks: first position, number of positions
+        self.trie = Trie({p: i for i, p in enumerate(vocabulary.pieces) if p and i not in apart and p.find(MARK, 1) < 0}, np.array(vocabulary.scores))
+        self.words = _Numbers([])
+        self.start = self.size = self.uses = np.empty(0, np.int64)  # of chunks: first position, positions, uses since the last turn
         self.first = np.zeros(1, np.int64)  # of positions: first edge (and the end)
         self.length, self.piece = np.empty(0, np.uint8), np.empty(0, np.int32)
         self.logp = self.cum = np.empty(0)
+        self.n_words = self.n_pos = self.n_edges = 0
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         """The chunks' numbers in the pool; new ones are added."""
-        known = self.words
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        out = np.fromiter(map(self.words.__getitem__, chunks), np.int64, len(chunks))
+        new, self.words.new = self.words.new, []
         if new:
             self._add(new)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-
-    def _lookup(self, h: np.ndarray) -> np.ndarray:
-        """Index among keys, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        top = (h >> _U(44)).astype(np.int64)
-        at, end = self.slot[top], self.slot[top + 1]
-        rows = np.flatnonzero(at < end)
-        for k in range(self.most):
-            rows = rows[at[rows] + k < end[rows]]
-            hit = rows[self.keys[at[rows] + k] == h[rows]]
-            out[hit] = at[hit] + k
+        self.uses[: self.n_words] += np.bincount(out, minlength=self.n_words)
         return out
 
+    def turn(self) -> None:
+        """A full pool keeps the chunks used twice or more since the last turn, if those fill at most half of it."""
+        if self.n_pos <= self.limit:
+            return
+        uses, size = self.uses[: self.n_words], self.size[: self.n_words]
+        least = 2
+        while size[uses >= least].sum() > self.limit // 2:
+            least *= 2
+        old = np.flatnonzero(uses >= least)
+        chunks = list(self.words)
+        self.words = _Numbers([chunks[i] for i in old])
+        pos = np.repeat(self.start[old], size[old]) + _ramp(size[old])
+        count = self.first[pos + 1] - self.first[pos]
+        edge = np.repeat(self.first[pos], count) + _ramp(count)
+        self.length, self.piece, self.logp, self.cum = self.length[edge], self.piece[edge], self.logp[edge], self.cum[edge]
+        self.first = np.append(0, np.cumsum(count))
+        self.size, self.uses = size[old], np.zeros(len(old), np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.n_words, self.n_pos, self.n_edges = len(old), len(pos), len(edge)
+
     def _add(self, chunks: list[str]) -> None:
-        code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(size)
         left = np.repeat(ends, size) - np.arange(len(code))  # characters up to the chunk's end
-        literal = code == ord(MARK)
-        literal[ends - size] = False
-        code[literal] = 0x110000  # no piece has it
-        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
-        e_at, e_len, e_piece, e_score = [], [], [], []
-        alone = np.ones(len(code), bool)
-        for n in range(1, self.longest + 1):
-            at = at[left[at] >= n]
-            if not len(at):
-                break
-            h[at] = self._next(h[at], code[at + n - 1])
-            found = self._lookup(h[at])
-            hit = found >= 0
-            e_at.append(at[hit])
-            e_len.append(np.full(int(hit.sum()), n))
-            e_piece.append(self.ids[found[hit]])
-            e_score.append(self.scores[found[hit]])
-            if n == 1:
-                alone[at[hit]] = False
-        lone = np.flatnonzero(alone)
-        e_at.append(lone)
-        e_len.append(np.ones(len(lone), np.int64))
-        e_piece.append(-1 - np.where(literal[lone], ord(MARK), code[lone]).astype(np.int64))
-        e_score.append(np.full(len(lone), self.v.unknown))
-        e_at, e_len, e_piece, e_score = map(np.concatenate, (e_at, e_len, e_piece, e_score))
-        order = np.argsort(e_at, kind="stable")  # merges runs that are sorted already; shorter edges first
-        e_at, e_len, e_piece, e_score = e_at[order], e_len[order], e_piece[order], e_score[order]
-        count = np.bincount(e_at, minlength=len(code))
+        count = np.zeros(len(code), np.int64)
+        levels = []  # of every length: positions, nodes that are pieces, and how many shorter ones the position has
+        node = self.trie.first[code]
+        at = np.flatnonzero(node >= 0)
+        node, n = node[at], 1
+        while len(at):
+            hit = np.flatnonzero(self.trie.piece[node] >= 0)
+            found = at[hit]
+            levels.append((n, found, node[hit], count[found]))
+            count[found] += 1
+            more = np.flatnonzero(left[at] > n)
+            at, node = at[more], node[more]
+            node = self.trie.step(node, code[at + n])
+            more = np.flatnonzero(node >= 0)
+            at, node, n = at[more], node[more], n + 1
+        single = np.zeros(len(code), bool)
+        for n, found, _, _ in levels[:1]:
+            single[found] = True
+        lone = np.flatnonzero(~single)
+        # A position's edges stand together, longer ones first: they are the likelier, so a draw ends sooner.
+        count[lone] += 1
         heads = np.cumsum(count) - count
+        total = int(count.sum())
+        e_len, e_piece, e_score = np.empty(total, np.uint8), np.empty(total, np.int32), np.empty(total)
+        last = heads + count - 1
+        for n, found, nodes, shorter in levels:
+            to = last[found] - shorter - ~single[found]
+            e_len[to], e_piece[to], e_score[to] = n, self.trie.piece[nodes], self.trie.score[nodes]
+        to = last[lone]
+        e_len[to], e_piece[to], e_score[to] = 1, -1 - np.where(code[lone] == ord(_LITERAL), ord(MARK), code[lone]), self.v.unknown
         # Log-weights of completions, from the chunks' ends backwards, for all chunks at once.
         order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         per_level = np.bincount(left)[1:]
@@ -156,26 +234,29 @@ class Pool:
             at, end = order[end : end + n], end + n
             c = count[at]
             edges = np.repeat(heads[at], c) + _ramp(c)
-            to = np.repeat(at, c) + e_len[edges]
-            rest = np.repeat(left[at], c) > e_len[edges]
-            x = e_score[edges] + np.where(rest, beta[to], 0.0)
+            length = e_len[edges]
+            rest = np.repeat(left[at], c) > length
+            x = e_score[edges] + np.where(rest, beta[np.repeat(at, c) + length], 0.0)
             e_score[edges] = x
             beta[at] = np.logaddexp.reduceat(x, np.cumsum(c) - c)
-        logp = e_score - beta[e_at]
-        share = np.exp(logp)
-        total = np.cumsum(share)
-        cum = total - np.repeat(total[heads] - share[heads], count)
-        cum[heads + count - 1] = 2.0  # the last edge takes what rounding leaves
-        base_pos, base_edge = len(self.first) - 1, len(self.length)
-        known = len(self.start)
-        self.words.update(zip(chunks, range(known, known + len(chunks)), strict=True))
-        self.start = np.concatenate([self.start, base_pos + ends - size])
-        self.size = np.concatenate([self.size, size])
-        self.first = np.concatenate([self.first, base_edge + heads + count])
-        self.length = np.concatenate([self.length, e_len.astype(np.uint8)])
-        self.piece = np.concatenate([self.piece, e_piece.astype(np.int32)])
-        self.logp = np.concatenate([self.logp, logp])
-        self.cum = np.concatenate([self.cum, cum])
+        logp = e_score - np.repeat(beta[:-1], count)
+        cum = np.exp(logp)
+        at, rank = np.flatnonzero(count > 1), 1
+        while len(at):  # summed within each position, so that a value depends on its chunk alone
+            edges = heads[at] + rank
+            cum[edges] += cum[edges - 1]
+            rank += 1
+            at = at[count[at] > rank]
+        cum[last] = 2.0  # the last edge takes what rounding leaves
+        n_words, n_pos, n_edges = self.n_words, self.n_pos, self.n_edges
+        self.start = _grown(self.start, n_words, n_pos + ends - size)
+        self.size = _grown(self.size, n_words, size)
+        self.uses = _grown(self.uses, n_words, np.zeros(len(size), np.int64))
+        self.first = _grown(self.first, n_pos + 1, n_edges + heads + count)
+        self.length = _grown(self.length, n_edges, e_len)
+        self.piece = _grown(self.piece, n_edges, e_piece)
+        self.logp, self.cum = _grown(self.logp, n_edges, logp), _grown(self.cum, n_edges, cum)
+        self.n_words, self.n_pos, self.n_edges = n_words + len(size), n_pos + len(code), n_edges + total
 
 
 @dataclass
@@ -190,6 +271,13 @@ class Paths:
     def offsets(self) -> np.ndarray:
         return np.append(0, self.ends)
 
+    def sums(self, logp: np.ndarray) -> np.ndarray:
+        """Log-probability of each text's pieces up to each of them, summed text by text: other texts don't matter."""
+        out, at = np.empty(len(logp)), self.offsets().tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            np.cumsum(logp[a:b], out=out[a:b])
+        return out
+
 
 def _follow(pool: Pool, word: np.ndarray, key: np.ndarray, chunk: np.ndarray, cur: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, edge, number of pieces by row) of paths drawn from cur to the end of every chunk."""
@@ -216,13 +304,21 @@ def _follow(pool: Pool, word: np.ndarray, key: np.ndarray, chunk: np.ndarray, cu
     return pos, edges, made
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text: the mark and the characters up to the next space, LONGEST characters at most."""
+    chunks = (MARK + text.replace(MARK, _LITERAL).replace(" ", " " + MARK)).split(" ")
+    if len(text) < LONGEST or max(map(len, chunks)) <= LONGEST:
+        return chunks
+    return [c[i : i + LONGEST] for c in chunks for i in range(0, len(c), LONGEST)]
+
+
 class Sampler:
     """Draws k segmentations of each text without replacement; see the module's text."""
 
     def __init__(self, pool: Pool, texts: list[str], seeds: np.ndarray):
-        parts = [t.split(" ") for t in texts]
+        parts = [chunks_of(t) for t in texts]
         self.pool, self.seeds, self.n = pool, seeds, len(texts)
-        self.word = pool.numbers([MARK + p for x in parts for p in x])
+        self.word = pool.numbers([c for x in parts for c in x])
         self.first = np.append(0, np.cumsum([len(x) for x in parts]))
 
     def _draw(self, turn: int, docs: np.ndarray, before: list[Paths], node: dict[str, np.ndarray] | None) -> tuple[Paths, np.ndarray]:
@@ -269,18 +365,18 @@ class Sampler:
         drawn[docs] = head
         return out, drawn
 
-    def _siblings(self, turn: int, path: Paths, drawn: np.ndarray, value: np.ndarray, docs: np.ndarray, deep: float) -> dict[str, np.ndarray]:
+    def _siblings(self, turn: int, path: Paths, total: np.ndarray, drawn: np.ndarray, value: np.ndarray, docs: np.ndarray, deep: float) -> dict[str, np.ndarray]:
         """Open nodes beside the pieces drawn, where the prefix has a log-probability above deep."""
         pool, offsets = self.pool, path.offsets()
-        logp = pool.logp[path.edge]
-        total = np.append(0.0, np.cumsum(logp))
+        above = np.append(0, np.cumsum(total > deep))  # log-probabilities only fall, so these stand at a text's head
         lo = offsets[docs]
-        hi = np.minimum(offsets[docs + 1], np.searchsorted(-total, -(total[lo] + deep)))  # log-probabilities only fall
+        near = above[offsets[docs + 1]] - above[lo]
+        hi = np.minimum(offsets[docs + 1], lo + near + 1)
         begin = lo + drawn[docs]
         n = np.maximum(0, hi - begin)
         at = np.repeat(begin, n) + _ramp(n)
         owner = np.repeat(docs, n)
-        phi = total[at] - np.repeat(total[lo], n)
+        phi = np.where(at > np.repeat(lo, n), total[at - 1], 0.0)
         first = pool.first[path.pos[at]]
         n = pool.first[path.pos[at] + 1] - first
         edge = np.repeat(first, n) + _ramp(n)
@@ -303,16 +399,16 @@ class Sampler:
         for turn in range(k):
             path, drawn = self._draw(turn, docs, paths, node)
             paths.append(path)
-            total = np.append(0.0, np.cumsum(self.pool.logp[path.edge]))
-            found[turn, docs] = (total[path.offsets()[1:]] - total[path.offsets()[:-1]])[docs]
+            total = path.sums(self.pool.logp[path.edge])
+            found[turn, docs] = total[path.ends[docs] - 1]
             need = k - turn
-            new = self._siblings(turn, path, drawn, value, docs, _DEEP)
+            new = self._siblings(turn, path, total, drawn, value, docs, _DEEP)
             near = new["g"] > _NEAR
             new = {c: x[near] for c, x in new.items()}
             count = np.bincount(opened["doc"][opened["g"] > _NEAR], minlength=self.n) + np.bincount(new["doc"], minlength=self.n)
             few = docs[count[docs] < need]
             if len(few):  # too few values above what was skipped: draw all
-                again, keep = self._siblings(turn, path, drawn, value, few, -np.inf), ~np.isin(new["doc"], few)
+                again, keep = self._siblings(turn, path, total, drawn, value, few, -np.inf), ~np.isin(new["doc"], few)
                 new = {c: np.concatenate([x[keep], again[c]]) for c, x in new.items()}
             opened = {c: np.concatenate([opened[c], new[c]]) for c in opened}
             order = np.lexsort((opened["edge"], opened["at"], opened["turn"], -opened["g"], opened["doc"]))
@@ -354,6 +450,14 @@ def decode(ids: Iterable[int], bytes_of: list[bytes]) -> bytes:
     return b"".join(map(bytes_of.__getitem__, ids))[1:]
 
 
+def round_trips(ids: np.ndarray, ends: np.ndarray, texts: list[bytes], real: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Of every text whether its ids (from ends[i] to ends[i + 1]; none where it is not real) decode to it."""
+    pool = _pool_of(vocabulary)
+    whole = b"".join(map(pool.bytes_of.__getitem__, ids.tolist()))
+    at = np.append(0, np.cumsum(pool.width[ids]))[ends].tolist()
+    return np.array([not r or whole[a + 1 : b] == t for r, a, b, t in zip(real.tolist(), at[:-1], at[1:], texts, strict=True)], bool)
+
+
 def row_seeds(keys: list, seed: int = SEED) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(repr(k).encode(), seed) for k in keys], np.uint64)
 
@@ -373,8 +477,7 @@ def _pool_of(vocabulary: Vocabulary) -> Pool:
         _pools.clear()
         _pools[vocabulary] = Pool(vocabulary)
     pool = _pools[vocabulary]
-    if len(pool.first) > pool.limit:
-        pool.clear()
+    pool.turn()
     return pool
 
 
@@ -393,15 +496,15 @@ def sampled_encodings(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES,
     def report(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, keys = texts_of(batch), batch.column("doc_id").to_pylist()
         found, logp, inclusion = encode(texts, keys, vocabulary, k)
-        bytes_of, rows = _pool_of_bytes(vocabulary), []
+        back = [round_trips(ids, ends, texts, np.isfinite(logp[t]), vocabulary) for t, (ids, ends) in enumerate(found)]
+        rows = []
         for i, text in enumerate(texts):
             have = [t for t in range(k) if np.isfinite(logp[t, i])]
             ids = [found[t][0][found[t][1][i] : found[t][1][i + 1]] for t in have]
             digest = hashlib.sha256()
             for x in ids:
                 digest.update(len(x).to_bytes(8, "little") + x.tobytes())
-            back = all(decode(x.tolist(), bytes_of) == text for x in ids)
-            row = [keys[i], len(text.decode("utf-8", "replace")), len(have), [len(x) for x in ids], [float(logp[t, i]) for t in have], [float(inclusion[t, i]) for t in have], digest.hexdigest(), back]
+            row = [keys[i], len(text) - len(text.translate(None, _NOT_TAIL)), len(have), [len(x) for x in ids], [float(logp[t, i]) for t in have], [float(inclusion[t, i]) for t in have], digest.hexdigest(), all(back[t][i] for t in have)]
             rows.append(row + [ids] * with_ids)
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -415,5 +518,18 @@ def sampled_encodings(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
 
 
-def _pool_of_bytes(vocabulary: Vocabulary) -> list[bytes]:
-    return _pools[vocabulary].bytes_of
+def decoded(encoded: DataFrame, vocabulary: Vocabulary, column: str = "ids", to: str = "text") -> DataFrame:
+    """encoded with the text of each row's piece ids (array<int>; null stays null) as the last column, or in place
+    of a column of that name. Rows are decoded in Arrow batches, without a shuffle."""
+    kept = [c for c in encoded.columns if c != to]
+    out = encoded.select(*[F.col(f"`{c}`") for c in kept])
+    schema = StructType([*out.schema.fields, StructField(to, StringType())])
+    at = kept.index(column)
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = _pool_of(vocabulary).bytes_of
+        for batch in batches:
+            texts = [None if x is None else decode(x, bytes_of) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*kept, to])
+
+    return out.mapInArrow(of, schema)
