@@ -22,16 +22,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Where the cluster names no such folder (as in tests on one machine) a temporary one is set.
+    Where it is unset a temporary folder of this machine is set in its place, but only in local mode: on a cluster
+    other machines could not read it, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='loom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for private columns beside columns: with as many underscores before them as it takes."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+FILTER_BITS = 26
+
+
+def split_by_filter(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key is surely not among keys, all other rows): df is read twice and not shuffled.
+
+    keys has one column of longs, key is one; nulls are alike. The keys' hashes are set in a filter of 2**FILTER_BITS bits, kept as
+    its words that are not zero: at most 2**(FILTER_BITS - 6) rows of 16 bytes, however many keys there are, so it
+    may be broadcast. A full filter sends all rows to the second part, which any exact join then settles.
+    """
+    [k] = keys.columns
+    word, bits = fresh(df.columns, "word", "bits")
+    place = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(0))), F.lit(1 << FILTER_BITS))
+    at = place(F.col(k))
+    words = keys.select(F.shiftright(at, 6).cast("int").alias(word), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = words.groupBy(word).agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias(bits))
+    words = stored(words, "filter")
+    own = place(key)
+    marked = df.withColumn(word, F.shiftright(own, 6).cast("int")).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.getbit(F.col(f"`{bits}`"), own.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    return tuple(marked.where(c).select(*quoted(df.columns)) for c in (~hit, hit))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df: cuts the lineage and survives the loss of executors."""
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
