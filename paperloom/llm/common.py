@@ -58,20 +58,25 @@ FILTER_BITS = 26
 def split_by_filter(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of df whose key is surely not among keys, all other rows): df is read twice and not shuffled.
 
-    keys has one column of longs, key is one; nulls are alike. The keys' hashes are set in a filter of 2**FILTER_BITS bits, kept as
-    its words that are not zero: at most 2**(FILTER_BITS - 6) rows of 16 bytes, however many keys there are, so it
-    may be broadcast. A full filter sends all rows to the second part, which any exact join then settles.
+    keys has one column of longs, key is one; nulls are alike. The keys' hashes are set in a filter of
+    2**FILTER_BITS bits, kept as rows of 64 words: 2**(FILTER_BITS - 12) rows of some 560 bytes at most (9 MB),
+    however many keys there are, so it may be broadcast. A full filter sends all rows to the second part, which any
+    exact join then settles.
     """
     [k] = keys.columns
-    word, bits = fresh(df.columns, "word", "bits")
+    slot, bits = fresh(df.columns, "slot", "bits")
     place = lambda c: F.pmod(F.xxhash64(F.coalesce(c, F.lit(0))), F.lit(1 << FILTER_BITS))
+    word_of = lambda at: F.shiftright(at, 6).bitwiseAND(F.lit(63)).cast("int")
     at = place(F.col(k))
-    words = keys.select(F.shiftright(at, 6).cast("int").alias(word), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    words = words.groupBy(word).agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias(bits))
-    words = stored(words, "filter")
+    words = keys.select(F.shiftright(at, 12).cast("int").alias(slot), word_of(at).alias("word"), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = words.groupBy(slot, "word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+    held = words.groupBy(slot).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))  # 64 at most
+    whole = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("held", i), F.lit(0).cast("long")))
+    table = stored(held.select(slot, whole.alias(bits)), "filter")
     own = place(key)
-    marked = df.withColumn(word, F.shiftright(own, 6).cast("int")).join(F.broadcast(words), word, "left")
-    hit = F.coalesce(F.getbit(F.col(f"`{bits}`"), own.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    marked = df.withColumn(slot, F.shiftright(own, 12).cast("int")).join(F.broadcast(table), slot, "left")
+    word = F.coalesce(F.element_at(F.col(f"`{bits}`"), word_of(own) + 1), F.lit(0).cast("long"))
+    hit = F.getbit(word, own.bitwiseAND(F.lit(63)).cast("int")) == 1
     return tuple(marked.where(c).select(*quoted(df.columns)) for c in (~hit, hit))
 
 
