@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .planner import SHRINK
 
+BUCKETS = 4096
+
 RESULT = "doc_id long, name string, value string, confidence double, input_tokens long, error string"
 
 
@@ -37,13 +40,11 @@ class SizeLimited:
         self.answer, self.most = answer, most
 
     def judge_batch(self, requests: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in requests.itertuples(index=False):
-            if len(r.state) > self.most:
-                rows.append((r.doc_id, r.name, None, None, None, "too_big"))
-            else:
-                rows.append((r.doc_id, r.name, *self.answer(r.name, r.state), len(r.state) // 3, None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+        size = requests.state.str.len()
+        fits = size <= self.most
+        given = [self.answer(n, s) if ok else (None, None) for n, s, ok in zip(requests.name, requests.state, fits, strict=True)]
+        out = requests[["doc_id", "name"]].assign(value=[v for v, _ in given], confidence=[c for _, c in given])
+        return out.assign(input_tokens=(size // 3).where(fits), error=fits.map({True: None, False: "too_big"}))
 
 
 def retry_too_big(requests: DataFrame, results: DataFrame, classifier: Classifier, shrunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -118,10 +119,26 @@ def outcome(status: Column, code: Column) -> Column:
 def escalation(answers: DataFrame, share: float = 0.02) -> DataFrame:
     """Answers below their threshold are flagged; the first documents up to a share of all are ``queued``, the rest ``capped``.
 
-    The cap is a feature. Ranking needs the flagged documents alone, which are deduplicated first.
+    The cap is a feature. Documents are not ranked in one window: counts by range of doc_id (BUCKETS of them) tell in
+    which range the cap falls, and only documents of that range are numbered.
     """
     flagged = answers.where(F.col("confidence") < F.col("escalate_below"))
     docs = flagged.select("doc_id").distinct()
-    most = F.ceil(answers.select(F.countDistinct("doc_id") * share).scalar())
-    chosen = docs.withColumn("k", F.row_number().over(Window.orderBy("doc_id")))
-    return flagged.join(chosen, "doc_id").select("doc_id", "name", "confidence", F.when(F.col("k") <= most, "queued").otherwise("capped").alias("status"))
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    all_, low, high = answers.agg(F.countDistinct("doc_id")).first()[0], *ends.first()
+    queued, capped = F.lit("queued"), F.lit("capped")
+    if low is None:
+        return flagged.select("doc_id", "name", "confidence", capped.alias("status"))
+    most, width = math.ceil(round(all_ * share, 9)), (high - low) // BUCKETS + 1
+    before, edge = 0, None
+    for bucket, n in sorted(docs.groupBy(F.floor((F.col("doc_id") - low) / width).alias("b")).count().collect()):  # BUCKETS rows at most
+        if before + n > most:
+            edge = bucket
+            break
+        before += n
+    if edge is None:
+        return flagged.select("doc_id", "name", "confidence", queued.alias("status"))
+    at = docs.where(F.col("doc_id").between(low + edge * width, low + (edge + 1) * width - 1)).orderBy("doc_id").limit(most - before)
+    last = at.agg(F.max("doc_id")).first()[0]
+    last = last if last is not None else low + edge * width - 1
+    return flagged.select("doc_id", "name", "confidence", F.when(F.col("doc_id") <= last, queued).otherwise(capped).alias("status"))

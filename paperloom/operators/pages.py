@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.text import bad_char_ratio, let, non_space_chars, strip
 from ..schema import PAGE_JOIN
 
@@ -42,14 +43,14 @@ def ocr_decision(text: Column, coverage: Column, paths: Column, step3: Column |
     verdict = lambda ocr, step, reason: F.struct(ocr.alias("ocr") if isinstance(ocr, Column) else F.lit(ocr).alias("ocr"), F.lit(step).alias("step"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"), chars.cast("int").alias("chars"), ratio.alias("bad_char_ratio"))
     few = chars < MIN_CHARS
     out = (
-        F.when(few & (coverage >= OCR_COVERAGE), verdict(True, 1, "few characters, images cover most of the page"))
-        .when(few & (paths >= OCR_PATHS), verdict(True, 1, "few characters, many vector paths"))
-        .when(few, verdict(False, 1, "few characters, nothing to read"))
-        .when(ratio >= OCR_BAD, verdict(True, 2, "text layer has many bad characters"))
+        F.when(few & (coverage >= OCR_COVERAGE), verdict(True, 1, fixed.REASON_IMAGES))
+        .when(few & (paths >= OCR_PATHS), verdict(True, 1, fixed.REASON_PATHS))
+        .when(few, verdict(False, 1, fixed.REASON_EMPTY))
+        .when(ratio >= OCR_BAD, verdict(True, 2, fixed.REASON_BAD))
     )
     if step3 is not None:
-        out = out.when(step3.isNotNull(), verdict(step3["ocr"], 3, F.when(step3["ocr"], "most words are not real words").otherwise("words look real")))
-    return out.otherwise(verdict(False, 4, "text layer looks good"))
+        out = out.when(step3.isNotNull(), verdict(step3["ocr"], 3, F.when(step3["ocr"], fixed.REASON_NO_WORDS).otherwise(fixed.REASON_WORDS)))
+    return out.otherwise(verdict(False, 4, fixed.REASON_GOOD))
 
 
 def covered_share(boxes: Column, width: Column, height: Column) -> Column:

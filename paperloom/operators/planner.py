@@ -17,7 +17,8 @@ from ..schema import POINTER
 from .pages import page_ranges, pages_of_spans, snap_head, snap_tail
 from .sections import usable
 
-HEAD_SHARE, SHRINK, ELISION, JOIN, ROUNDS = 0.25, 0.85, "\n[…]\n", "\n\n", 8
+HEAD_SHARE, SHRINK, ELISION, JOIN = 0.25, 0.85, "\n[…]\n", "\n\n"
+STEADY, ROUNDS = 64, 96
 
 
 @dataclass(frozen=True)
@@ -99,12 +100,14 @@ def request_groups(planned: DataFrame) -> DataFrame:
 
 
 def extents(text: Column, sections: Column, reads: Column | None) -> Column:
-    """(key, start, end) of what is read: the whole text, or the usable sections, each under the first key read."""
+    """(key, start, end) of what is read: the usable sections, each under the first key read, or the whole text, where
+    reads is null (or None, for all rows)."""
+    all_ = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).alias("start"), F.length(text).alias("end")))
     if reads is None:
-        return F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).alias("start"), F.length(text).alias("end")))
+        return all_
     keyed = F.transform(usable(sections), lambda s: F.struct(F.get(F.array_intersect(reads, s["keys"]), F.lit(0)).alias("key"), s["spans"].alias("spans")))
     read = F.filter(keyed, lambda s: s["key"].isNotNull())
-    return F.flatten(F.transform(read, lambda s: F.transform(s["spans"], lambda p: F.struct(s["key"].alias("key"), p["start"].alias("start"), p["end"].alias("end")))))
+    return F.when(reads.isNull(), all_).otherwise(F.flatten(F.transform(read, lambda s: F.transform(s["spans"], lambda p: F.struct(s["key"].alias("key"), p["start"].alias("start"), p["end"].alias("end"))))))
 
 
 def cut(ext: Column, pages: Column, max_chars: Column) -> Column:
@@ -120,13 +123,14 @@ def _cut(ext: Column, total: Column, pages: Column, max_chars: Column) -> Column
     def part(e: Column) -> Column:
         size = e["end"] - e["start"]
         share = (room * size / F.greatest(total, F.lit(1))).cast("int")  # toward zero
-        allowed = F.greatest(F.lit(0), share - len(ELISION))
+        return let(F.greatest(F.lit(0), share - len(ELISION)), lambda allowed: F.struct(e["key"].alias("key"), F.when(allowed >= size, F.array(span(e["start"], e["end"]))).otherwise(ends(e, allowed)).alias("spans")))
+
+    def ends(e: Column, allowed: Column) -> Column:
         head = F.floor(allowed * HEAD_SHARE).cast("int")
         tail = allowed - head
         head_end = F.when(head > 0, snap_head(pages, e["start"], e["start"] + head)).otherwise(e["start"])
         tail_start = F.when(tail > 0, snap_tail(pages, e["end"] - tail, e["end"])).otherwise(e["end"])
-        both = F.filter(F.array(span(e["start"], head_end), span(tail_start, e["end"])), lambda s: s["end"] > s["start"])
-        return F.struct(e["key"].alias("key"), F.when(allowed >= size, F.array(span(e["start"], e["end"]))).otherwise(both).alias("spans"))
+        return F.filter(F.array(span(e["start"], head_end), span(tail_start, e["end"])), lambda s: s["end"] > s["start"])
 
     whole = F.transform(ext, lambda e: F.struct(e["key"].alias("key"), F.array(span(e["start"], e["end"])).alias("spans")))
     fits = (total == 0) | (total <= room)
@@ -138,14 +142,19 @@ def text_of(text: Column, spans: Column) -> Column:
 
 
 def state_json(text: Column, kept: Column, reads: Column | None, metadata: dict[str, Column]) -> Column:
-    """The state that is sent, as compact JSON; absent metadata is left out."""
+    """The state that is sent, as compact JSON; absent metadata is left out. reads: as for extents."""
+    return let(kept, lambda k: _state_json(text, k, reads, metadata))
+
+
+def _state_json(text: Column, kept: Column, reads: Column | None, metadata: dict[str, Column]) -> Column:
     fields = [c.alias(k) for k, c in metadata.items()]
     joined = lambda parts: F.array_join(F.transform(parts, lambda p: text_of(text, p["spans"])), JOIN)
     if reads is None:
         fields.append(joined(kept).alias("text"))
     else:
         present = F.filter(reads, lambda r: F.exists(kept, lambda p: p["key"] == r))
-        fields.append(F.map_from_entries(F.transform(present, lambda r: F.struct(r, joined(F.filter(kept, lambda p: p["key"] == r))))).alias("sections"))
+        keyed = F.map_from_entries(F.transform(present, lambda r: F.struct(r, joined(F.filter(kept, lambda p: p["key"] == r)))))
+        fields += [F.when(reads.isNull(), joined(kept)).alias("text"), keyed.alias("sections")]
     return F.to_json(F.struct(F.struct(*fields).alias("document")))
 
 
@@ -156,7 +165,9 @@ def tokens(state: Column, chars: int | Column, caps: Capabilities) -> Column:
 def fit_chars(text: Column, ext: Column, pages: Column, reads: Column | None, metadata: dict[str, Column], asks: list[Ask] | Column, caps: Capabilities, shrink_from: Column | None = None) -> Column:
     """Characters that may be sent, so that the state and the longest ask are within the budget.
 
-    JSON escapes may make a cut too long; each round takes off what was too much, and stops where nothing is.
+    JSON escapes may make a cut too long; each round takes off what was too much, until nothing is. Rounds after that
+    are not evaluated. Where cuts snap to pages a round may change nothing, so from round STEADY on what is taken off
+    doubles each time: whatever the text, the last of ROUNDS rounds has reached a cut that fits, or 0.
     asks may also be a column with the longest ask's characters.
     """
     budgeted = longest(asks).chars if isinstance(asks, list) else asks
@@ -165,12 +176,15 @@ def fit_chars(text: Column, ext: Column, pages: Column, reads: Column | None, me
     first = F.greatest(F.lit(0), F.floor(room * caps.chars_per_token).cast("int"))
     if shrink_from is not None:
         first = F.least(first, F.floor(shrink_from * SHRINK).cast("int"))
+    acc = lambda chars, fits: F.struct(chars.cast("int").alias("chars"), fits.alias("fits"))
 
-    def round_(chars: Column, _: Column) -> Column:
-        over = tokens(state_json(text, cut(ext, pages, chars)["kept"], reads, metadata), budgeted, caps) - caps.token_budget
-        return F.when((over <= 0) | (chars == 0), chars).otherwise(F.greatest(F.lit(0), chars - F.ceil(over * caps.chars_per_token).cast("int")))
+    def round_(s: Column, k: Column) -> Column:
+        over = tokens(state_json(text, cut(ext, pages, s["chars"])["kept"], reads, metadata), budgeted, caps) - caps.token_budget
+        faster = F.pow(F.lit(2.0), F.greatest(F.lit(0), k - STEADY))
+        less = lambda o: F.when((o <= 0) | (s["chars"] == 0), acc(s["chars"], F.lit(True))).otherwise(acc(F.greatest(F.lit(0.0), s["chars"] - F.ceil(o * caps.chars_per_token) * faster), F.lit(False)))
+        return F.when(s["fits"], s).otherwise(let(over, less))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), first, round_)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), acc(first, F.lit(False)), round_, lambda s: s["chars"])
 
 
 def coverage(cut_: Column, pages: Column, reads: Column | None) -> Column:

@@ -78,8 +78,8 @@ def priority_order(requests: DataFrame) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows with the least hashes of (doc_id, seed): the same ones on any layout."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
+    """n rows with the least digests of doc_id and seed: the same ones on any layout."""
+    return rows.orderBy(F.md5(F.concat_ws("-", "doc_id", F.lit(seed))), "doc_id").limit(n)
 
 
 def usage_totals(answers: DataFrame, *by: str) -> DataFrame:

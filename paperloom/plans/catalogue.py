@@ -38,19 +38,14 @@ def _long(*names: str):
 # ---- sources ----------------------------------------------------------------------------------------------
 
 _TAXONOMY = {"spam": ["%%%", "***", "###", "!!"], "english": [" the ", " and "], "french": [" les ", " une "], "other": []}
-_BLOCK_SQL = "|".join(html.BLOCKS)
-
-
 def _sql_html() -> str:
+    """Text of a page in SQL, written without the engine's tables: the elements and references that pages can have."""
     out = r"regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in html.SKIPPED:
-        out = rf"regexp_replace({out}, '(?is)<{tag}\b.*?</{tag}\s*>', '', 'g')"
-    out = rf"regexp_replace({out}, '(?i)</?(?:{_BLOCK_SQL})\b[^>]*>', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '(?is)<(?:script\b.*?</script|style\b.*?</style|noscript\b.*?</noscript|head\b.*?</head|template\b.*?</template)\s*>', '', 'g')"
+    out = rf"regexp_replace({out}, '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*>', chr(10), 'g')"
     out = rf"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for name, char in html.ENTITIES:
-        put = "chr(39)" if char == "'" else f"'{char}'"
-        out = f"replace({out}, '{name}', {put})"
-    out = f"replace({out}, chr(160), ' ')"
+    for name, code in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("nbsp", 32), ("copy", 169), ("middot", 183), ("mdash", 8212), ("#8217", 8217), ("amp", 38)):
+        out = f"replace({out}, '&{name};', chr({code}))"
     return rf"list_aggregate(list_filter(list_transform(string_split({out}, chr(10)), lambda line: trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'))), lambda line: line <> ''), 'string_agg', chr(10))"
 
 
@@ -101,8 +96,7 @@ def source_metadata(spark, sf_dir):
 
 @query("select distinct sha256(text) as sha256, strlen(text)::bigint as bytes from documents")
 def content_dedup(spark, sf_dir):
-    rows = files.content_addressed(X.documents(spark, sf_dir).select(F.encode("text", "UTF-8").alias("content")))
-    return rows.select("sha256", F.octet_length("content").cast("long").alias("bytes"))
+    return files.content_digests(X.documents(spark, sf_dir).select(F.encode("text", "UTF-8").alias("content")))
 
 
 @query("select doc_id as ref, case when doc_id % 10 = 0 then 'missing' when doc_id % 10 = 1 then 'changed' else 'unchanged' end as state from documents")
@@ -112,12 +106,23 @@ def changed_inputs(spark, sf_dir):
     return files.changes(docs, now)
 
 
-_sic_sql = " ".join(f"when sic between {a} and {b} then '{n}'" for a, b, n in files.SECTORS)
+_SIC_SQL = """case when sic between 100 and 999 then 'consumer-staples' when sic between 1311 and 1389 then 'energy' when sic between 1000 and 1499 then 'materials'
+    when sic between 1500 and 1799 then 'industrials' when sic between 2000 and 2199 then 'consumer-staples' when sic between 2200 and 2399 then 'consumer-discretionary'
+    when sic between 2400 and 2509 then 'materials' when sic between 2510 and 2599 then 'consumer-discretionary' when sic between 2600 and 2699 then 'materials'
+    when sic between 2700 and 2799 then 'communication' when sic between 2800 and 2829 or sic between 2850 and 2899 then 'materials' when sic between 2830 and 2836 then 'health-care'
+    when sic between 2840 and 2844 then 'consumer-staples' when sic between 2900 and 2999 then 'energy' when sic in (3021, 3140, 3630, 3711, 3713, 3714, 3716, 3751) then 'consumer-discretionary'
+    when sic between 3000 and 3399 then 'materials' when sic between 3570 and 3579 or sic between 3600 and 3699 then 'technology' when sic between 3840 and 3851 then 'health-care'
+    when sic between 3400 and 3799 then 'industrials' when sic between 3800 and 3899 then 'technology' when sic between 3900 and 3999 then 'consumer-discretionary'
+    when sic between 4000 and 4799 then 'industrials' when sic between 4800 and 4899 then 'communication' when sic between 4900 and 4999 then 'utilities'
+    when sic between 5000 and 5199 then 'industrials' when sic between 5400 and 5499 or sic = 5912 then 'consumer-staples' when sic between 5200 and 5999 then 'consumer-discretionary'
+    when sic between 6500 and 6553 or sic = 6798 then 'real-estate' when sic between 6000 and 6799 then 'financials' when sic between 7000 and 7099 then 'consumer-discretionary'
+    when sic between 7370 and 7379 then 'technology' when sic between 7800 and 7899 then 'communication' when sic between 8000 and 8099 then 'health-care'
+    when sic between 7200 and 8999 then 'industrials' else 'other' end"""
 
 
-@query(f"select sector, count(*) as n from (select case {_sic_sql} else 'other' end as sector from (select (doc_id * 37) % 9000 as sic from documents)) group by sector")
+@query(f"select sector, count(*) as n from (select {_SIC_SQL} as sector from (select (doc_id * 37) % 9500 as sic from documents)) group by sector")
 def sectors_from_sic(spark, sf_dir):
-    sic = (F.col("doc_id") * 37) % 9000
+    sic = (F.col("doc_id") * 37) % 9500
     return X.documents(spark, sf_dir).groupBy(files.sector_from_sic(sic).alias("sector")).agg(F.count("*").alias("n"))
 
 
@@ -195,15 +200,16 @@ def coverage_page_ranges(spark, sf_dir):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    s = F.explode("sections").alias("s")
-    return df.select("doc_id", s).select("doc_id", F.col("s.form_ref").alias("form_ref"), F.col("s.label").alias("label"), F.array_join("s.keys", ",").alias("keys"), F.element_at("s.spans", 1)["start"].cast("long").alias("start"), F.element_at("s.spans", 1)["end"].cast("long").alias("end"), F.array_join("s.flags", ",").alias("flags"), F.col("s.method").alias("method"))
+    return sections.exploded(df.select("doc_id", "sections")).select("doc_id", F.col("s.form_ref").alias("form_ref"), F.col("s.label").alias("label"), F.array_join("s.keys", ",").alias("keys"), F.element_at("s.spans", 1)["start"].cast("long").alias("start"), F.element_at("s.spans", 1)["end"].cast("long").alias("end"), F.array_join("s.flags", ",").alias("flags"), F.col("s.method").alias("method"))
 
 
 def _items(spark, sf_dir) -> DataFrame:
     return X.filings(spark, sf_dir).select("doc_id", "text", "form", sections.item_sections(F.col("text"), F.col("form")).alias("sections"))
 
 
-_KEY_SQL = "coalesce(map {" + ", ".join(f"'{f} {i}': '{k}'" for f, items in sections.ITEM_KEYS.items() for i, k in items.items()) + "}[form_ref], 'other')"
+#: The items that the fixtures' headings can name, written without the engine's table.
+_KEY_SQL = """case when form_ref = '10-K 1' or form_ref = '20-F 4' then 'business' when form_ref in ('10-K 1A', '10-Q II.1A', '20-F 3.D') then 'risk_factors'
+    when form_ref in ('10-K 7', '10-Q I.2', '20-F 5') then 'mdna' when form_ref in ('10-Q II.6', '10-K 15', '20-F 19') then 'exhibits' else 'other' end"""
 _SECTION_COLS = f'doc_id, form_ref, label, {_KEY_SQL} as keys, start::bigint as start, "end"::bigint as "end"'
 
 
@@ -271,7 +277,7 @@ _POINTERS_SQL = f"""{X.SQL_ITEMS},
 
 @query(f"with {_POINTERS_SQL} select doc_id, form_ref, 'Exhibit 13.1' as target from pointers where points")
 def pointer_targets(spark, sf_dir):
-    found = _items(spark, sf_dir).withColumn("sections", sections.longest_per_ref(F.col("sections"))).select("doc_id", "text", F.explode("sections").alias("s"))
+    found = sections.exploded(_items(spark, sf_dir).select("doc_id", "text", sections.longest_per_ref(F.col("sections")).alias("sections")))
     return found.select("doc_id", F.col("s.form_ref").alias("form_ref"), sections.pointer_target(F.col("text"), F.col("s")).alias("target")).where("target is not null")
 
 
@@ -296,7 +302,7 @@ def usable_sections(spark, sf_dir):
 def detector_chain(spark, sf_dir):
     a = X.filings(spark, sf_dir).select(F.lit("filing").alias("kind"), "doc_id", "text", "form")
     b = X.annual_reports(spark, sf_dir).select(F.lit("report").alias("kind"), "doc_id", "text", F.lit(None).cast("string").alias("form"))
-    found = a.union(b).select("kind", F.explode(sections.detect_sections(F.col("text"), F.col("form"))).alias("s"))
+    found = sections.exploded(a.union(b).select("kind", sections.detect_sections(F.col("text"), F.col("form")).alias("sections")))
     return found.groupBy("kind", F.col("s.method").alias("method")).agg(F.count("*").alias("n"))
 
 
@@ -433,11 +439,13 @@ def section_locator(spark, sf_dir):
     return locator.locate(rows.select("doc_id", "text", parsed.alias("bodies"))).select("doc_id", F.posexplode("spans").alias("section", "s")).select("doc_id", "section", "s.start", "s.end")
 
 
-@query()
+@query("""select * from (values ('error', 'duplicate_name', 'risk'), ('error', 'unknown_reads_key', 't: busines (did you mean business?)'), ('warning', 'taxonomy_budget', 't: options take 13334 tokens of 32000'),
+    ('error', 'too_many_options', 'q: 300 of 255'), ('warning', 'instructions_ignore_document', 'risk'), ('error', 'unknown_override', 'b.pdf (did you mean a.pdf?)'), ('error', 'unsupported_ocr_language', 'job: xx'),
+    ('error', 'unsupported_ocr_language', 'a.pdf: ja')) t(level, code, message)""")
 def validation_findings(spark, sf_dir):
     """What the checks of a faulty job specification find."""
     spec = specs.JobSpec(
-        inputs=["a.pdf"], overrides={"b.pdf": {}}, ocr_languages=["xx"],
+        inputs=["a.pdf"], overrides={"b.pdf": {}, "a.pdf": {"profile": "quality", "ocr_languages": ["en", "ja"]}}, ocr_languages=["xx"],
         taxonomy=specs.Taxonomy("t", [specs.Category("a", "x" * 40_000), specs.Category("b")], reads=("busines",)),
         question_sets=[specs.QuestionSet("risk", "1", [specs.Question("risk", "noul", "Is there risk?"), specs.Question("q", "choice", "Pick from the document.", [specs.Category(f"o{i}") for i in range(300)])])],
     )
@@ -564,12 +572,18 @@ def escalation_flags_capped(spark, sf_dir):
 
 def _requests(spark, sf_dir) -> DataFrame:
     t0 = X.table(spark, sf_dir, "events").agg(F.min("ts")).first()[0]
-    return X.job_log(spark, sf_dir).select((F.col("key") % 8).alias("key"), "seq", (F.col("ts").cast("timestamp").cast("double") - F.lit(t0).cast("timestamp").cast("double")).alias("at"), F.col("tokens").cast("double").alias("tokens"), F.when(F.col("outcome") == "done", F.col("tokens") * 0.9).alias("actual"), (F.col("seq") % 50 == 0).alias("throttled"))
+    at = F.col("ts").cast("timestamp").cast("double") - F.lit(t0).cast("timestamp").cast("double")
+    return X.job_log(spark, sf_dir).select(
+        (F.col("key") % 8).alias("key"), "seq", at.alias("at"), F.col("tokens").cast("double").alias("tokens"), F.when(F.col("outcome") == "done", F.col("tokens") * 0.9).alias("actual"),
+        (F.col("seconds") / 10).alias("seconds"), (F.col("seq") % 50 == 0).cast("int").alias("throttled"), (F.col("seq") % 70 == 0).cast("int").alias("transient"),
+        F.when(F.col("seq") % 100 == 0, 3.0).alias("retry_after"), (F.col("seq") % 9 == 0).alias("priority"),
+    )
 
 
 @query()
 def token_bucket_schedule(spark, sf_dir):
-    return runtime.schedule(_requests(spark, sf_dir), 2000.0, 10.0).select("key", "seq", F.round("started", 6).alias("started"))
+    got = runtime.schedule(_requests(spark, sf_dir), 2000.0, 10.0)
+    return got.select("key", "seq", F.round("started", 6).alias("started"), F.round("done", 6).alias("done"), F.col("attempts").cast("long").alias("attempts"))
 
 
 @query()
@@ -577,7 +591,17 @@ def aimd_factor(spark, sf_dir):
     return runtime.schedule(_requests(spark, sf_dir), 2000.0, 10.0).groupBy("key").agg(F.min("factor").alias("least"), F.max("factor").alias("most"))
 
 
-@query()
+@query("""
+    with recursive e as (select user_id % 16 as resource, event_id as seq, event_id * 4.0 as t, user_id % 5 as actor, ['acquire', 'heartbeat', 'release'][event_id % 3 + 1] as action,
+        row_number() over (partition by user_id % 16 order by event_id) as k from events),
+    s as (select resource, 0::bigint as k, null::bigint as seq, false as granted, null::bigint as holder, null::double as beat from (select distinct resource from e)
+        union all
+        select resource, k, seq, granted, case when not granted then holder when action = 'release' then null else actor end, case when granted and action <> 'release' then t else beat end
+        from (select e.resource, e.k, e.seq, e.t, e.actor, e.action, s.holder, s.beat,
+            case when e.action = 'acquire' then s.holder is null or e.t - s.beat > 30 or s.holder = e.actor
+                when e.action = 'heartbeat' then coalesce(s.holder = e.actor and e.t - s.beat <= 30, false) else coalesce(s.holder = e.actor, false) end as granted
+            from s join e on e.resource = s.resource and e.k = s.k + 1))
+    select resource, seq, granted, holder from s where k > 0""")
 def lease_timeline(spark, sf_dir):
     action = F.element_at(F.array(F.lit("acquire"), F.lit("heartbeat"), F.lit("release")), (F.col("seq") % 3 + 1).cast("int"))
     e = X.job_log(spark, sf_dir).select((F.col("key") % 16).alias("resource"), "seq", (F.col("seq") * 4).cast("double").alias("at"), (F.col("key") % 5).alias("actor"), action.alias("action"))
@@ -589,7 +613,7 @@ def stall_gaps(spark, sf_dir):
     return runtime.stalls(X.job_log(spark, sf_dir).where("outcome = 'done'")).withColumn("gap_s", F.round("gap_s", 3))
 
 
-@query(f"with {X.SQL_LOG}, w as (select key, seq, count(*) over r as n, sum(crashed::int) over r as c from log window r as (partition by key order by seq rows unbounded preceding)) select key, seq, round(c / n, 6) as rate, n >= 20 and c / n >= 0.05 as cancel from w")
+@query(f"with {X.SQL_LOG}, w as (select key, seq, count(*) over r as n, sum(crashed::int) over r as c from log window r as (partition by key order by seq rows unbounded preceding)) select key, seq, round(c / n, 6) as rate, max(case when 20 * c >= n then 1 else 0 end) over (partition by key order by seq rows unbounded preceding) = 1 as cancel from w")
 def crash_rate_running(spark, sf_dir):
     return runtime.crash_rate(X.job_log(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
 
@@ -617,8 +641,11 @@ def throughput_streamed(spark, sf_dir):
     schema = X.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may also be one file
     outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("running")
-    log = stream.select("ts", outcome.alias("outcome"), (F.col("event_id") % 1000).alias("tokens"))
-    return runtime.replay(runtime.throughput(log), runtime.shared_folder(spark))
+    log = stream.select(F.col("ts").cast("timestamp").alias("ts"), outcome.alias("outcome"), (F.col("event_id") % 1000).alias("tokens"))
+    folder = runtime.shared_folder(spark)
+    runtime.drain(log, "ts", f"{folder}/log")
+    closed = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log")
+    return runtime.replay(runtime.throughput(closed, late="1 hour"), folder).where("outcome is not null").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # ---- metrics ----------------------------------------------------------------------------------------------
@@ -662,10 +689,12 @@ def calibrate_threshold(spark, sf_dir):
     return metrics.calibrate(X.gold(spark, sf_dir).withColumn("weight", F.lit(1.0)), 0.97)
 
 
-@query("select doc_id, round(levenshtein(substring(text, 1, 60), upper(substring(text, 1, 60))) / greatest(length(substring(text, 1, 60)), 1), 6) as cer from documents where lang = 'en'")
+@query()
 def char_error_rate(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    return X.documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.round(T.character_error_rate(F.upper(head), head), 6).alias("cer"))
+    """Whole texts of all documents against what a bad scan might give. SQL's edit distance is too slow on whole texts."""
+    docs = X.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("truth"))
+    got = F.regexp_replace(F.translate("truth", "lO", "10"), "rn", "m")
+    return docs.select("doc_id", F.round(T.text_error_rate(got, F.col("truth")), 6).alias("cer"))
 
 
 @query("select doc_id, round(length(text) / ((length(text) + 3) // 4), 2) as chars_per_token from documents where length(text) > 0")

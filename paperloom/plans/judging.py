@@ -101,17 +101,15 @@ def requests(docs: DataFrame, asks: list[Ask], caps: Capabilities | None = None,
     """
     caps = caps or Capabilities()
     text, pages, reads, ext = F.col("text"), F.col("pages"), F.col("g.reads"), F.col("ext")
-    whole, meta = reads.isNull(), {m: F.col(m) for m in metadata}
-    either = lambda f: F.when(whole, f(None)).otherwise(f(reads))
+    meta = {m: F.col(m) for m in metadata}
     rows = docs.select("doc_id", "text", "pages", "sections", *metadata, F.explode(_groups(asks, planner.present_keys(F.col("sections")))).alias("g"))
-    rows = rows.withColumn("ext", either(lambda r: planner.extents(text, F.col("sections"), r)))
+    rows = rows.select("doc_id", "text", "pages", *metadata, "g", planner.extents(text, F.col("sections"), reads).alias("ext"))
     budgeted = F.array_max(F.transform("g.asks", lambda a: a["chars"]))
-    rows = rows.withColumn("chars", either(lambda r: planner.fit_chars(text, ext, pages, r, meta, budgeted, caps)))
-    rows = rows.withColumn("cut", planner.cut(ext, pages, F.col("chars")))
+    rows = rows.withColumn("cut", planner.cut(ext, pages, planner.fit_chars(text, ext, pages, reads, meta, budgeted, caps)))
     if shrink:
         sent = F.aggregate(F.flatten(F.transform("cut.kept", lambda k: k["spans"])), F.lit(0), lambda n, s: n + s["end"] - s["start"])
         rows = rows.withColumn("cut", planner.cut(ext, pages, F.floor(sent * planner.SHRINK).cast("int")))
-    rows = rows.withColumn("state", either(lambda r: planner.state_json(text, F.col("cut.kept"), r, meta)))
+    rows = rows.withColumn("state", planner.state_json(text, F.col("cut.kept"), reads, meta))
     tokens = planner.tokens(F.col("state"), F.aggregate("g.asks", F.lit(0), lambda n, a: n + a["chars"]), caps)
     cover = planner.coverage(F.col("cut"), pages, F.coalesce(reads, F.expr("cast(array() as array<string>)")))
     cover = cover.withField("truncated", F.col("cut.truncated") | F.lit(shrink)).withField("shrunk", F.lit(shrink)).withField("est_tokens", F.round(tokens).cast("long"))
@@ -157,7 +155,9 @@ def judge_documents(docs: DataFrame, asks: list[Ask], classifier: Answerer, caps
     cached, cache_key (null without a cache). cache has cache_key and answer (JSON of ANSWER).
     """
     caps, spark = caps or Capabilities(), docs.sparkSession
-    folder, todo, found = shared_folder(spark), requests(docs, asks, caps, metadata), None
+    folder, found = shared_folder(spark), None
+    docs = _stored(docs.select("doc_id", "text", "pages", "sections", *metadata), f"{folder}/documents")  # sections are detected once
+    todo = requests(docs, asks, caps, metadata)
     if cache is not None:
         keys = cache_keys(todo, asks, caps)
         found = _stored(keys.join(cache.select("cache_key", "answer"), "cache_key", "left"), f"{folder}/lookup")

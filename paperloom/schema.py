@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
+from .fixed import KEYS  # noqa: F401
+
 SCHEMA_VERSION = "0.1.0"
 PAGE_JOIN = "\n\n"
-KEYS = ("business", "risk_factors", "cybersecurity", "legal_proceedings", "mdna", "market_risk", "financial_statements", "controls", "governance", "exhibits")
 OTHER, POINTER = "other", "pointer"
 STATES = ("queued", "extracting", "extracted", "classifying", "done", "failed", "cancelled")
 TERMINAL = ("done", "failed", "cancelled")

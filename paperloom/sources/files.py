@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..fixed import SECTORS
+
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """path, modificationTime, length and content of files; only the columns in use are read."""
@@ -25,10 +27,16 @@ def title_or_stem(title: Column, path: Column) -> Column:
 
 
 def content_addressed(files: DataFrame) -> DataFrame:
-    """One row of every content: sha256, content; combined by digest before the shuffle carries contents."""
+    """One row of every content: sha256, content. Equal contents are combined in each task, then one of each task is
+    shuffled; use content_digests where the contents themselves are not needed."""
     return files.select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
 
 
+def content_digests(files: DataFrame) -> DataFrame:
+    """sha256 and bytes of every different content; only digests are shuffled."""
+    return files.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes")).distinct()
+
+
 def changes(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """ref, and whether the file recorded under it (sha256, bytes) is unchanged, changed or missing."""
     now = current.select("ref", F.col("sha256").alias("now_sha256"), F.col("bytes").alias("now_bytes"))
@@ -36,14 +44,10 @@ def changes(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return recorded.join(now, "ref", "left").select("ref", state.alias("state"))
 
 
-#: Sector by ranges of SIC codes, first match first.
-SECTORS = ((100, 999, "agriculture"), (1000, 1499, "energy"), (2830, 2836, "health"), (3570, 3579, "technology"), (3670, 3679, "technology"), (4800, 4899, "communication"), (4900, 4999, "utilities"), (6500, 6599, "real_estate"), (6000, 6499, "financials"), (7370, 7379, "technology"), (8000, 8099, "health"), (5200, 5999, "consumer"), (2000, 3999, "industrials"))
-
-
 def sector_from_sic(sic: Column) -> Column:
-    out = None
+    out = F
     for low, high, name in SECTORS:
-        out = F.when(sic.between(low, high), name) if out is None else out.when(sic.between(low, high), name)
+        out = out.when(sic.between(low, high), name)
     return out.otherwise("other")
 
 

@@ -64,6 +64,20 @@ def test_json_escapes_take_more_rounds(spark):
     assert (len(state) + 30) / 3.0 <= 400
 
 
+def test_pages_and_escapes_still_end_within_the_budget(spark):
+    """Cuts snap to pages, so many rounds may change nothing; the state that is sent fits all the same."""
+    caps, asks = Capabilities(token_budget=2000, overhead=0), [Ask("a", "noul", "x" * 30)]
+    page = 'say "so" \\n' * 150
+    text = "\n\n".join([page] * 9)
+    starts = [i * (len(page) + 2) for i in range(9)]
+    pages_ = F.array(*[F.struct(F.lit(i + 1).alias("number"), F.lit(s).alias("start"), F.lit(s + len(page)).alias("end")) for i, s in enumerate(starts)])
+    docs = spark.createDataFrame([(text,)], "text string").withColumn("pages", pages_)
+    ext = planner.extents(F.col("text"), F.lit(None), None)
+    chars = planner.fit_chars(F.col("text"), ext, F.col("pages"), None, {"title": F.lit("t")}, asks, caps)
+    got = docs.select("text", "pages", chars.alias("n")).select("n", planner.state_json(F.col("text"), planner.cut(ext, F.col("pages"), F.col("n"))["kept"], None, {"title": F.lit("t")}).alias("s")).first()
+    assert (len(got.s) + 30) / 3.0 <= 2000 and got.n > 0
+
+
 def test_state_leaves_absent_metadata_out_and_keeps_read_order(spark):
     kept = F.expr("array(struct('b' as key, array(struct(0 as start, 1 as end)) as spans), struct('a' as key, array(struct(1 as start, 2 as end), struct(3 as start, 4 as end)) as spans), struct('b' as key, array(struct(2 as start, 3 as end)) as spans))")
     state = one(spark, planner.state_json(F.lit("wxyz"), kept, F.expr("array('a', 'b', 'c')"), {"title": F.lit("t"), "form": F.lit(None).cast("string")}))
