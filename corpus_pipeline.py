@@ -1,4 +1,11 @@
-"""The training corpus pipeline: each stage reads what its predecessor kept."""
+"""The training corpus pipeline: each stage reads what its predecessor kept.
+
+Defined cases, in every stage: a null text counts as empty; empty texts are scored, compared and encoded like any
+others; texts of any length are read whole. Repeated rows stay alike until exact dedup, which leaves one of each. A null
+doc_id is a document of its own that is smaller than any other. Extra columns are carried by all stages but the last,
+whatever their names. An empty table goes through as an empty table. Where no labelled rows are left, the quality stage
+accepts all and the mixing stage counts all as clean.
+"""
 
 from __future__ import annotations
 
