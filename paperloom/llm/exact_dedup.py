@@ -62,11 +62,15 @@ KEY = ["digest", "n_bytes"]
 def located(docs: DataFrame, folder: str) -> tuple[DataFrame, list[str]]:
     """docs with a locator (file, row in it) of every row, in two columns of the names returned."""
     names = fresh(docs.columns, "file", "row")
-    place = lambda df: df.select(*quoted(docs.columns), F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
-    if "_metadata" not in docs.columns:
-        with contextlib.suppress(AnalysisException):  # not read from files, or no longer
-            return place(docs), names
-    docs.write.mode("ignore").parquet(f"{folder}/rows")
+
+    def place(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")  # of the scan, also where a column of docs has that name
+        return df.select(*quoted(docs.columns), meta["file_path"].alias(names[0]), meta["row_index"].alias(names[1]))
+
+    with contextlib.suppress(AnalysisException):  # not read from files, or no longer
+        return place(docs), names
+    if not _exists(docs.sparkSession, f"{folder}/rows/_SUCCESS"):
+        docs.write.mode("overwrite").parquet(f"{folder}/rows")
     return place(docs.sparkSession.read.schema(docs.schema).parquet(f"{folder}/rows")), names
 
 
