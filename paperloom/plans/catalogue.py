@@ -134,10 +134,10 @@ def latest_by_source(spark, sf_dir):
 # ---- pages ------------------------------------------------------------------------------------------------
 
 
-@query(f"with {X.SQL_SIGNALS} select doc_id, ocr, step::bigint as step, reason, chars::bigint as chars, round(ratio, 6) as bad_char_ratio from decided")
+@query(f"with {X.SQL_SIGNALS} select doc_id, number::bigint as number, ocr, step::bigint as step, reason, chars::bigint as chars, round(ratio, 6) as bad_char_ratio from decided")
 def ocr_decisions(spark, sf_dir):
-    d = X.page_signals(spark, sf_dir).select("doc_id", pages.ocr_decision(F.col("text"), F.col("image_coverage"), F.col("path_count")).alias("d"))
-    return d.select("doc_id", "d.ocr", F.col("d.step").cast("long").alias("step"), "d.reason", F.col("d.chars").cast("long").alias("chars"), F.round("d.bad_char_ratio", 6).alias("bad_char_ratio"))
+    d = X.page_signals(spark, sf_dir).select("doc_id", "number", pages.ocr_decision(F.col("text"), F.col("image_coverage"), F.col("path_count")).alias("d"))
+    return d.select("doc_id", F.col("number").cast("long").alias("number"), "d.ocr", F.col("d.step").cast("long").alias("step"), "d.reason", F.col("d.chars").cast("long").alias("chars"), F.round("d.bad_char_ratio", 6).alias("bad_char_ratio"))
 
 
 @query(f"with {X.SQL_SIGNALS} select step::bigint as step, ocr, count(*) as n, count(*) filter (where ocr) as flagged from decided group by step, ocr")

@@ -101,15 +101,18 @@ SQL_PAGES = """
 
 
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 13 == 0, F.concat(F.repeat(F.lit("�"), 12), F.substring("text", 1, 100))).when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 60)).otherwise(F.col("text"))
-    return documents(spark, sf_dir).select("doc_id", text.alias("text"), (F.col("doc_id") % 11 / 10.0).alias("image_coverage"), (F.col("doc_id") % 40).cast("int").alias("path_count"))
+    """doc_id, number, text, image_coverage, path_count: every line as a page; some with bad characters before it."""
+    bad = F.concat(F.repeat(F.lit("�"), F.floor(F.length("text") / 10).cast("int") + 5), "text")
+    signal = F.col("doc_id") + F.col("number")
+    rows = doc_pages(spark, sf_dir)
+    return rows.select("doc_id", "number", F.when(signal % 13 == 0, bad).otherwise(F.col("text")).alias("text"), (signal % 11 / 10.0).alias("image_coverage"), (signal % 40).cast("int").alias("path_count"))
 
 
-SQL_SIGNALS = """
-    signals as (select doc_id, case when doc_id % 13 = 0 then repeat('�', 12) || substring(text, 1, 100) when doc_id % 5 = 0 then substring(text, 1, 60) else text end as text,
-        (doc_id % 11) / 10.0 as image_coverage, doc_id % 40 as path_count from documents),
+SQL_SIGNALS = SQL_PAGES + """,
+    signals as (select doc_id, number, case when (doc_id + number) % 13 = 0 then repeat('�', length(text) // 10 + 5) || text else text end as text,
+        ((doc_id + number) % 11) / 10.0 as image_coverage, (doc_id + number) % 40 as path_count from pages_),
     counted as (select *, length(regexp_replace(text, '\\s+', '', 'g')) as chars, length(text) - length(replace(text, '�', '')) as bad from signals),
-    decided as (select doc_id, chars, case when chars > 0 then bad / chars else 0.0 end as ratio,
+    decided as (select doc_id, number, chars, case when chars > 0 then bad / chars else 0.0 end as ratio,
         case when chars < 80 then 1 when bad / chars >= 0.05 then 2 else 4 end as step,
         case when chars < 80 then image_coverage >= 0.6 or path_count >= 20 else bad / chars >= 0.05 end as ocr,
         case when chars < 80 and image_coverage >= 0.6 then 'few characters, images cover most of the page' when chars < 80 and path_count >= 20 then 'few characters, many vector paths'
