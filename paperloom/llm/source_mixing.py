@@ -12,16 +12,16 @@ gradients of the domains' totals, so the search is over three weights by project
 weight is the domain's miss, and a step is scaled by the curvature, H = the sum over documents of a rate above 0 of
 tokens * posterior * posterior (a matrix of the domains), so that it would settle the misses if no rate met 0. Of the
 FRACTIONS of each step that one is taken which leaves the least misses. Misses and H are sums over all documents, some
-numbers a step. Steps end when no miss exceeds TOLERANCE of what a domain has; if STEPS do not suffice a warning names
-the miss that is left.
+numbers a step. Steps end when no miss exceeds TOLERANCE of what a domain has, or no fraction of a step is of use; if
+STEPS do not suffice, or are of no use, a warning names the miss that is left.
 
 Training is on at most SAMPLE labelled rows (the least hashes of doc_id). The model has a weight for every bucket
-that is surely more frequent in a domain than in those before it. How sure (in standard errors, one of SURE) is what
-makes a quarter of the sample likeliest to a model of the rest: copies and a language's common words make rows alike, so
-no fixed error fits all samples. However many buckets pass, all are kept. Scoring reads whole texts once, without a
+that is surely more frequent in a domain than in those before it: by SURE standard errors, which is far, as copies and a
+language's common words make rows alike, and in SUPPORT of its sampled rows or more, below which that error says
+nothing. However many buckets pass, all are kept. Scoring reads whole texts once, without a
 shuffle. Defined cases: null text counts as empty, has no tokens, the priors as posteriors, and a rate
-as any other. Texts of any length are read whole, as one array of words. A domain without labels has posterior 0 and
-no target. Without labels all is clean and every rate is 1. Ties among targets are broken by name. Repeated rows get
+as any other. Texts of any length are read whole, as one array of words. A domain without labels, or without any such
+bucket, has posterior 0 and no target. Without labels all is clean and every rate is 1. Ties among targets are broken by name. Repeated rows get
 the same rate and the same draw. An empty table gives no rows. Extra columns are carried by ``mix_sources``, whatever
 their names.
 """
@@ -39,7 +39,7 @@ from .common import fresh, quoted, stored
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
-BUCKETS, SAMPLE, SURE, EVIDENCE, ABSENT = 1 << 18, 4000, (4.0, 5.0, 6.0, 7.0, 9.0, 12.0), 8.0, -3.0
+BUCKETS, SAMPLE, SURE, SUPPORT, EVIDENCE, ABSENT = 1 << 18, 4000, 8.0, 5, 8.0, -3.0
 STEPS, FRACTIONS, TOLERANCE, SEED = 25, (1.0, 0.5, 0.2, 0.05), 1e-3, 11
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -101,7 +101,7 @@ class Domains:
 
 def _features(rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """Of every bucket in rows (domain, b) and each domain but the first: z, how surely it is more frequent there, w,
-    what it adds to the log odds, and a, what all texts without it have; then the domains' numbers of rows."""
+    what it adds to the log odds, a, what all texts without it have, and n, its rows; then the domains' numbers of rows."""
     count = lambda d: F.count_if(F.col("domain") == d)
     n = rows.agg(*[count(d).alias(d) for d in DOMAINS]).first().asDict()
     seen = rows.select("domain", F.explode("b").alias("b")).groupBy("b").agg(*[count(d).alias(d) for d in DOMAINS])
@@ -113,7 +113,7 @@ def _features(rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         both = (F.col(d) + rest + 1) / (n[d] + n_rest + 2)
         z = (p - q) / F.sqrt(both * (1 - both) * (1 / (n[d] + 1) + 1 / (n_rest + 1)))
         absent = F.log((1 - p) / (1 - q))
-        out += [z.alias(f"z_{d}"), (F.log(p / q) - absent).alias(f"w_{d}"), absent.alias(f"a_{d}")]
+        out += [z.alias(f"z_{d}"), (F.log(p / q) - absent).alias(f"w_{d}"), absent.alias(f"a_{d}"), F.col(d).alias(f"n_{d}")]
     return seen.select("b", *out), n
 
 
@@ -121,29 +121,6 @@ def _prior(n: dict[str, int], d: str, absent: float | None) -> float:
     return math.log((n[d] + 0.5) / (n["clean"] + 0.5)) + max(ABSENT, absent or 0.0)
 
 
-def _how_sure(rows: DataFrame) -> float:
-    """The threshold under which a model of three quarters of rows makes the others' domains likeliest."""
-    held = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0
-    features, n = _features(rows.where(~held))
-    features = stored(features.where(sum((F.col(f"z_{d}") >= SURE[0]).cast("int") for d in DOMAINS[1:]) > 0), "features")
-    of = lambda c, d, s: F.sum(F.when(F.col(f"z_{d}") >= s, F.col(f"{c}_{d}")))
-    names = [(d, s, f"{d}_{i}") for d in DOMAINS[1:] for i, s in enumerate(SURE)]
-    absent = features.agg(*[of("a", d, s).alias(c) for d, s, c in names]).first()
-    tests = rows.where(held).select(F.xxhash64("id", "domain", "b").alias("key"), "domain", "b").dropDuplicates(["key"])
-    found = tests.select("key", F.explode("b").alias("b")).join(features, "b").groupBy("key").agg(*[of("w", d, s).alias(c) for d, s, c in names])
-    odds = tests.select("key", "domain").join(found, "key", "left").select(
-        "domain", *[F.exp(F.least(F.greatest(F.coalesce(c, F.lit(0.0)) + _prior(n, d, absent[c]), F.lit(-EVIDENCE)), F.lit(EVIDENCE))).alias(c) for d, s, c in names]
-    )
-    losses = []
-    for i in range(len(SURE)):
-        own = F.lit(1.0)
-        for d in DOMAINS[1:]:
-            own = F.when(F.col("domain") == d, F.col(f"{d}_{i}")).otherwise(own)
-        losses.append(F.avg(F.log(1 + sum(F.col(f"{d}_{i}") for d in DOMAINS[1:])) - F.log(own)))
-    got = odds.agg(*losses).first()
-    return min((loss, -s) for loss, s in zip(got, SURE, strict=True))[1] * -1 if got[0] is not None else SURE[0]
-
-
 def classifier(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Domains:
     """Naive Bayes on the presence and absence of buckets: those that most surely stand more often in a
     domain than in ``clean``. (What clean texts of one language have in common says nothing of other languages.)"""
@@ -152,12 +129,11 @@ def classifier(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Domain
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("id", "text", "domain")
     rows = rows.orderBy(F.xxhash64("id"), "id", "domain", "text").limit(most)  # a doc_id may have several rows
     rows = stored(with_buckets(rows, Names("n", {}, "b")).select("id", "domain", F.array_sort(F.array_distinct("b")).alias("b")), "sample")
-    sure = _how_sure(rows)
     features, n = _features(rows)
-    keep = {d: F.col(f"z_{d}") >= sure for d in DOMAINS[1:]}
+    keep = {d: (F.col(f"z_{d}") >= SURE) & (F.col(f"n_{d}") >= SUPPORT) for d in DOMAINS[1:]}
     chosen = features.select("b", *[F.when(k, F.col(f"{c}_{d}")).otherwise(0.0).alias(f"{c}_{d}") for d, k in keep.items() for c in "wa"])
     chosen = sorted(chosen.where(sum((F.col(f"w_{d}") != 0).cast("int") for d in keep) > 0).collect())  # BUCKETS rows at most
-    priors = {d: _prior(n, d, sum(r[f"a_{d}"] for r in chosen)) if n[d] else None for d in keep}
+    priors = {d: _prior(n, d, sum(r[f"a_{d}"] for r in chosen)) if any(r[f"w_{d}"] for r in chosen) else None for d in keep}
     return Domains(priors, [r.b for r in chosen], {d: [r[f"w_{d}"] for r in chosen] for d in keep})
 
 
@@ -236,10 +212,12 @@ def fit_rates(members: DataFrame, names: Names, targets: dict[str, float] = TARG
             return weights
         step = _scaled(curvature, missed(now))
         tried = [{d: weights[d] + f * step[d] for d in DOMAINS} for f in FRACTIONS]
-        best, (now, curvature) = min(zip(tried, sums(tried), strict=True), key=lambda x: worst(x[1][0]))
-        weights = best
+        best, after = min(zip(tried, sums(tried), strict=True), key=lambda x: worst(x[1][0]))
+        if worst(after[0]) >= worst(now):
+            break  # no fraction of the step is of use
+        weights, (now, curvature) = best, after
     if worst(now) > tolerance:
-        warnings.warn(f"after {most} steps the expected tokens of the domains still miss their targets by {missed(now)}", RuntimeWarning, stacklevel=2)
+        warnings.warn(f"the expected tokens of the domains still miss their targets by {missed(now)}", RuntimeWarning, stacklevel=2)
     return weights
 
 
