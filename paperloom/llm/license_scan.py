@@ -1,17 +1,23 @@
 """License scans by a generalised suffix automaton of license templates (operator 8).
 
 Texts are A-Z lower-cased; words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Base: places where the words of a
-phrase of BASE stand consecutively. The method streams the words through a suffix automaton of all templates'
-words, which gives at every word the length of the longest template passage that ends there (the matching
-statistics). Passages of MIN_MATCH words or more are chained, in template order and at most GAP words apart,
-into spans; a template's coverage is the share of its words that one chain covers. A coverage of MIN_COVERAGE
-or more adds the template's label. A template of fewer than MIN_MATCH words is found where all its words stand
-consecutively, also within a longer passage. The score is the best coverage, or 1 where a base phrase stands.
-
-Work is one pass over words: words of no template end a match at once, and only runs of template words enter
-the automaton. Memory follows one text and the templates. Defined cases: null text counts as empty (no words,
-null first_word and last_word, empty labels, score 0). Rows that repeat are scanned alike; an empty table
-gives no rows.
+phrase of BASE stand consecutively. The method streams the words through a suffix automaton of all templates' words:
+at every word its state and length (the matching statistics), with the states up the suffix links, give for every
+place of every template the longest passage that ends at both. Passages of MIN_MATCH words or more that can't be made
+longer are matches.
+
+Matches of a template are chained in the order of the text and of the template, at most GAP words apart in the text;
+where a match overlaps the one before it, in the text or in the template, its head is cut off. The best chain by
+words covered is found by dynamic programming, and its share of the template's words is the coverage. A coverage of
+MIN_COVERAGE or more, by a chain that holds the template's phrases each within one match, adds the template's label.
+A template of fewer than MIN_MATCH words is found where all its words stand consecutively, also within a longer
+passage. The score is the best coverage of any template, or 1 where a base phrase stands.
+
+Work is one pass over words: words of no template end a match at once, and only runs of template words enter the
+automaton. Memory follows one text and the templates, whatever the text's length. Defined cases: null text counts as
+empty (no words, null first_word and last_word, empty labels, score 0). Of chains that cover as many words the one that
+begins and ends first is the span. Rows that repeat are scanned alike; an empty table gives no rows. Other columns than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,23 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_groups, texts_of
+from .license_texts import TEMPLATES
 
 MIN_MATCH, GAP, MIN_COVERAGE = 4, 12, 0.6
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("proprietary", "all rights reserved"),
-    ("proprietary", "all rights reserved no part of this may be reproduced without permission"),
-)
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -115,15 +108,29 @@ class Scanner:
     """The compiled base phrases and templates; made once for a task."""
 
     def __init__(self, templates=TEMPLATES, base=BASE):
-        self.labels = [label for label, _ in templates]
-        self.sequences = [words_of(t.encode()) for _, t in templates]
+        self.labels = [t[0] for t in templates]
+        self.sequences = [words_of(t[1].encode()) for t in templates]
+        self.phrases = [[words_of(p.encode()) for p in t[2]] for t in templates]
         self.automaton = SuffixAutomaton(self.sequences)
         self.least = min((min(MIN_MATCH, len(s)) for s in self.sequences if s), default=MIN_MATCH)
         self.short = self._short()
+        self.ending = [self._ending(v) for v in range(len(self.automaton.link))]
         self.base = [(words_of(p.encode()), label) for p, label in base.items()]
         self.first = {p[0] for p, _ in self.base}
         self.known = self.automaton.vocabulary | self.first
 
+    def _ending(self, v: int) -> list[tuple[int, int, int]]:
+        """(template, end in it, length; 0: the match's own) of the passages that end where state v does, each once."""
+        out, seen, a = [], set(), self.automaton
+        at, length = v, 0
+        while at > 0 and (length == 0 or length >= MIN_MATCH):
+            new = a.ends[at] - seen
+            out += [(k, stop, length) for k, stop in sorted(new) if len(self.sequences[k]) >= MIN_MATCH]
+            seen |= new
+            at = a.link[at]
+            length = a.length[at] if at > 0 else 0
+        return out
+
     def _short(self) -> dict[int, list[tuple[int, int]]]:
         """The states whose words end with a whole template of fewer than MIN_MATCH words: (template, its words)."""
         own: dict[int, list[tuple[int, int]]] = {}
@@ -145,41 +152,61 @@ class Scanner:
         return [(i, label) for i in at if words[i] in self.first for p, label in self.base if words[i : i + len(p)] == p]
 
     def matches(self, words: list[bytes], at: list[int]) -> list[Match]:
-        """Maximal passages of MIN_MATCH words or more, for every template that holds them, and shorter templates whole."""
-        out, vocabulary = [], self.automaton.vocabulary
-        begin = 0
+        """Passages of MIN_MATCH words or more that can't be made longer, and shorter templates whole. at: the places
+        of template words, in order."""
+        out, begin = [], 0
         while begin < len(at):
             end = begin + 1
             while end < len(at) and at[end] == at[end - 1] + 1:
                 end += 1
             if end - begin >= self.least:
                 lo, hi = at[begin], at[end - 1] + 1
-                found = list(self.automaton.statistics(words[lo:hi]))
-                for i, (state, n) in enumerate(found):
-                    out += [Match(k, lo + i + 1 - m, 0, m) for k, m in self.short.get(state, ()) if n >= m]
-                    if n >= MIN_MATCH and (i + 1 == len(found) or found[i + 1][1] <= n):
-                        out += [Match(k, lo + i + 1 - n, stop - n, n) for k, stop in sorted(self.automaton.ends[state]) if len(self.sequences[k]) >= MIN_MATCH]
+                for i, (state, n) in enumerate(self.automaton.statistics(words[lo:hi]), lo + 1):
+                    out += [Match(k, i - m, 0, m) for k, m in self.short.get(state, ()) if n >= m]
+                    if n >= MIN_MATCH:
+                        after = words[i] if i < hi else None
+                        for k, stop, length in self.ending[state]:
+                            m, s = length or n, self.sequences[k]
+                            if stop == len(s) or s[stop] != after:
+                                out.append(Match(k, i - m, stop - m, m))
             begin = end
-        assert not out or vocabulary
         return out
 
-    def coverage(self, matches: list[Match]) -> dict[int, tuple[float, int, int]]:
-        """Of every template with a match: the best chain's (coverage, first word, word after the last)."""
-        best: dict[int, tuple[float, int, int]] = {}
-        chains: dict[int, list[list[int]]] = {}  # ends of chains: text end, template end, covered, text start
-        for m in sorted(matches, key=lambda m: (m.at, m.of)):
-            near = chains.setdefault(m.template, [])
-            near[:] = [c for c in near if m.at - c[0] <= GAP]
-            before = [c for c in near if c[0] <= m.at and c[1] <= m.of]
-            c = max(before, key=lambda c: c[2], default=[m.at, 0, 0, m.at])
-            now = [m.at + m.n, m.of + m.n, c[2] + m.n, c[3]]
-            # One chain for each place in the template: the one that covers most.
-            near[:] = [x for x in near if (x[0], x[1]) != (now[0], now[1]) or x[2] > now[2]]
-            near.append(now)
-            share = now[2] / len(self.sequences[m.template])
-            if share > best.get(m.template, (0.0, 0, 0))[0]:
-                best[m.template] = (share, now[3], now[0])
-        return best
+    def chains(self, matches: list[Match]) -> dict[int, tuple[float, int, int, bool]]:
+        """Of every template with a match the best chain: (coverage, first word, word after the last, whether it is
+        enough for the label)."""
+        own: dict[int, list[Match]] = {}
+        for m in matches:
+            own.setdefault(m.template, []).append(m)
+        return {k: self._chain(k, sorted(ms, key=lambda m: (m.at, m.of))) for k, ms in own.items()}
+
+    def _chain(self, k: int, matches: list[Match]) -> tuple[float, int, int, bool]:
+        words, phrases = self.sequences[k], self.phrases[k]
+        all_held = (1 << len(phrases)) - 1
+        best: dict[int, tuple[int, int, int]] = {}  # by phrases held: words covered, less first word, less end
+        near: list[tuple[int, int, dict[int, tuple[int, int]]]] = []  # ends in text and template; by phrases covered and -start
+        for m in matches:
+            near = [c for c in near if m.at - c[0] <= GAP]
+            part, held = words[m.of : m.of + m.n], 0
+            for bit, p in enumerate(phrases):
+                if any(part[i : i + len(p)] == p for i in range(len(part) - len(p) + 1)):
+                    held |= 1 << bit
+            here = {held: (m.n, -m.at)}
+            for text_end, template_end, chains in near:
+                cut = max(0, text_end - m.at, template_end - m.of)
+                if cut < m.n and m.at + cut - text_end <= GAP:
+                    for mask, (covered, start) in chains.items():
+                        now = (covered + m.n - cut, start)
+                        if now > here.get(mask | held, (0, 0)):
+                            here[mask | held] = now
+            near.append((m.at + m.n, m.of + m.n, here))
+            for mask, (covered, start) in here.items():
+                best[mask] = max(best.get(mask, (0, 0, 0)), (covered, start, -(m.at + m.n)))
+        covered, start, end = max(best.values())
+        enough = best.get(all_held, (0, 0, 0))
+        if enough[0] >= MIN_COVERAGE * len(words):  # the span is that of the label's chain
+            return covered / len(words), -enough[1], -enough[2], True
+        return covered / len(words), -start, -end, False
 
     def scan(self, text: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
@@ -187,18 +214,18 @@ class Scanner:
         at = [i for i, w in enumerate(words) if w in known]
         base = self.base_places(words, at)
         vocabulary = self.automaton.vocabulary
-        covered = self.coverage(self.matches(words, [i for i in at if words[i] in vocabulary]))
+        found = self.chains(self.matches(words, [i for i in at if words[i] in vocabulary]))
         own = {label for _, label in base}
-        found = {self.labels[k] for k, (share, _, _) in covered.items() if share >= MIN_COVERAGE}
-        score = max([1.0 if base else 0.0, *(share for share, _, _ in covered.values())])
+        labels = own | {self.labels[k] for k, (*_, enough) in found.items() if enough}
+        score = max([1.0 if base else 0.0, *(share for share, *_ in found.values())])
         places = [i for i, _ in base]
-        return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(own | found)), min(1.0, score)
+        return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score
 
     def spans(self, text: bytes) -> list[tuple[str, float, int, int]]:
         """(label, coverage, first word, word after the last) of every template found."""
         words, vocabulary = words_of(text), self.automaton.vocabulary
-        covered = self.coverage(self.matches(words, [i for i, w in enumerate(words) if w in vocabulary]))
-        return [(self.labels[k], *x) for k, x in sorted(covered.items()) if x[0] >= MIN_COVERAGE]
+        found = self.chains(self.matches(words, [i for i, w in enumerate(words) if w in vocabulary]))
+        return [(self.labels[k], *x[:3]) for k, x in sorted(found.items()) if x[3]]
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
