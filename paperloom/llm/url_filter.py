@@ -4,15 +4,19 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 or the end; null or no ``://``: both empty. A rule (host, path) fits its host and all subdomains if the URL's
 path starts with the rule's; the longest wins.
 
-Labelled URLs are rows (url, blocked). The query takes those of the table that a rule fits, at most SAMPLE of
-them (by hash of the URL), so that the trees carry the policy over to hosts without a rule. Features are lexical:
-lengths, depth, digit ratio, entropy, parameter counts, and statistics of suffixes (smoothed shares of blocked
-URLs by top-level domain, by the path's first segment and by the file ending, from the labelled URLs). Trees are
-grown by second-order gradient boosting on quantile bins, on the driver from bounded rows, and scored in numpy
-over Arrow batches; a URL is blocked at a probability of THRESHOLD or more.
-
-Defined cases: a null or empty URL has the features of an empty one. Without labelled URLs of both verdicts the
-method gives the labelled verdict, or allow. Repeated rows are judged alike; an empty table gives no rows.
+Labelled URLs are rows (url, blocked). A table without labels, as the query's, gets weak ones: a URL is labelled blocked
+if a word of its host (between dots and hyphens) is one of SEEDS, the words that public blocklists of advertising,
+gambling, pharmacy and adult sites have most, and allowed if none is. The rules' own verdicts are policy and no labels.
+Training takes different URLs of at most MAX_URL characters, at most SAMPLE of them (by hash of the URL). Features are
+lexical: lengths, depth, digit ratio, entropy, parameter counts, and statistics of suffixes (smoothed shares of blocked
+URLs by top-level domain, by the path's first segment, by the file ending, and the largest by a word of the host, from
+the labelled URLs of other folds). Trees are grown by second-order gradient boosting on quantile bins, on the driver
+from bounded rows, and scored in numpy over Arrow batches; a URL is blocked at a probability of THRESHOLD or more.
+
+Defined cases: a null or empty URL has the features of an empty one. URLs of any length are judged whole. Of rules of
+equal length that fit, the last in RULES wins; a URL labelled both ways trains both ways. Without labelled URLs of both
+verdicts the method gives the labelled verdict, or allow. Repeated rows are judged alike; an empty table gives no rows.
+Other columns than page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from .common import lower_az
 from .ngrams import sigmoid
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-SAMPLE, THRESHOLD, TREES, DEPTH, RATE, BINS = 20_000, 0.9, 40, 3, 0.2, 32
+SAMPLE, MAX_URL, THRESHOLD, TREES, DEPTH, RATE, BINS = 20_000, 4096, 0.5, 40, 3, 0.2, 32
+SEEDS = ("ad", "ads", "adserver", "adult", "banner", "bet", "bets", "betting", "casino", "click", "gambling", "lottery", "pharma", "pharmacy", "phish", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "warez", "xxx")
 
 
 def host_of(url: Column) -> Column:
@@ -49,12 +54,19 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _suffixes(url: str) -> tuple[str, str, str]:
+def _suffixes(url: str) -> list[str]:
+    """Top-level domain, the path's first segment, file ending; then the words of the host."""
     rest = url.partition("://")[2].split("#")[0].split("?")[0]
     host, _, path = rest.partition("/")
-    segments = path.split("/")
+    host, segments = host.lower(), path.split("/")
     ending = segments[-1].rpartition(".")[2] if "." in segments[-1] else ""
-    return "tld " + host.lower().rpartition(".")[2], "dir " + (segments[0] if len(segments) > 1 else ""), "end " + ending
+    words = {f"word {w}" for label in host.split(".") for w in label.split("-")}
+    return ["tld " + host.rpartition(".")[2], "dir " + (segments[0] if len(segments) > 1 else ""), "end " + ending, *sorted(words)]
+
+
+def _statistics(suffixes: list[str], stats: dict[str, float], share: float) -> list[float]:
+    found = [stats.get(s, share) for s in suffixes]
+    return [*found[:3], max(found[3:])]
 
 
 def lexical(url: str) -> list[float]:
@@ -84,8 +96,8 @@ class Trees:
 
     def features(self, urls: list[str]) -> np.ndarray:
         if not urls:
-            return np.empty((0, 18))
-        return np.array([[*lexical(u), *(self.stats.get(s, self.share) for s in _suffixes(u))] for u in urls], float)
+            return np.empty((0, 19))
+        return np.array([[*lexical(u), *_statistics(_suffixes(u), self.stats, self.share)] for u in urls], float)
 
     def probability(self, urls: list[str]) -> np.ndarray:
         """That each URL is to be blocked."""
@@ -153,7 +165,7 @@ def fit(urls: list[str], blocked: np.ndarray) -> Trees:
     for k in range(5):
         others = shares(np.flatnonzero(part != k))
         for i in np.flatnonzero(part == k):
-            x[i, -3:] = [others.get(s, model.share) for s in suffixes[i]]
+            x[i, -4:] = _statistics(suffixes[i], others, model.share)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     logit = np.full(len(x), model.prior)
     for _ in range(TREES):
@@ -163,9 +175,14 @@ def fit(urls: list[str], blocked: np.ndarray) -> Trees:
     return model
 
 
+def weak_labels(urls: DataFrame, seeds=SEEDS) -> DataFrame:
+    """url and blocked of rows (url, host): by the words of the host."""
+    return urls.select("url", F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))).alias("blocked"))
+
+
 def train(labelled: DataFrame, most: int = SAMPLE) -> Trees:
-    """A model from rows (url, blocked): those with the least hash of the URL, at most so many."""
-    rows = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("int").alias("y"))
+    """A model from rows (url, blocked): of the different ones those with the least hash of the URL, at most so many."""
+    rows = labelled.where(F.col("blocked").isNotNull() & (F.length("url") <= MAX_URL)).select("url", F.col("blocked").cast("int").alias("y")).distinct()
     got = rows.orderBy(F.xxhash64("url"), "url", "y").limit(most).collect()
     return fit([r.url for r in got], np.array([r.y for r in got], float))
 
@@ -174,9 +191,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = Non
     """page_id, host, path, rule, verdict, p_block: a row for every row of pages."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
-    if labelled is None:
-        labelled = judged.where("__r is not null").select("url", (F.col("__r.verdict") == "block").alias("blocked"))
-    model = train(labelled)
+    model = train(weak_labels(judged) if labelled is None else labelled)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
