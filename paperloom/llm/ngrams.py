@@ -1,7 +1,7 @@
 """Words, shapes and hashed n-grams of many texts at once, in numpy, and logistic models on them.
 
-All arrays are made from SEGMENT bytes of text at a time, so that memory does not follow the longest text;
-only the words' hashes (8 bytes a word) are held for a whole text.
+Bytes are looked at SEGMENT at a time; of a whole text three numbers of 8 bytes are held for every word (the text's
+number, hash and shape), and two for every n-gram of a kind while that kind is counted.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
 """Quality classifier: hashed word n-grams, logistic regression by FTRL updates (operator 5).
 
 Training takes at most SAMPLE labelled rows (those with the least hash of doc_id, whose crc32 modulo FOLDS is
-not 0); their n-grams are hashed where the texts are, and only the sparse rows come to the driver. Scoring
-reads every whole text once, in Arrow batches, and is a sparse dot product of n-gram counts and weights.
-Inputs of a score are the text alone.
-
-Defined cases: null and empty texts have no n-grams, and get the score of the bias. Without labelled rows of
-both classes every score is the share of label 1, or 0.5 without labels. Repeated rows score alike; rows with
-several labels train as several rows. An empty table gives no rows.
+not 0) and SAMPLE_BYTES bytes of their n-grams, which are hashed where the texts are: only the sparse rows come to
+the driver. Scoring reads every whole text once, in Arrow batches, and is a sparse dot product of n-gram counts and
+weights. Inputs of a score are the text alone.
+
+Defined cases: null and empty texts have no n-grams, and get the score of the bias. Texts of any length are read
+whole, some megabytes at a time; a word takes 24 bytes and the n-grams of a kind 16 each. Without labelled rows of
+both classes every score is the share of label 1, or 0.5 without labels. Repeated rows score alike; rows with several
+labels, or labels with several rows, train as several rows, within the bounds. Rows of equal hash are ordered by
+doc_id, label and n-grams. A score equal to the threshold accepts. An empty table gives no rows. Other columns than
+doc_id and text are not read; ``keep_quality`` carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_groups, texts_of
+from .common import row_groups, stored, texts_of
 from .ngrams import Logistic, ftrl, platt, sparse_rows
 
-BITS, SAMPLE, FOLDS, ACCEPT = 18, 4000, 5, 0.3
+BITS, SAMPLE, SAMPLE_BYTES, FOLDS, ACCEPT = 18, 4000, 64 << 20, 5, 0.3
 
 
 def fold(doc_id: Column | str) -> Column:
@@ -30,20 +33,24 @@ def fold(doc_id: Column | str) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bits: int, chars: bool, most: int) -> tuple[list, np.ndarray]:
-    """Sparse rows and labels of at most so many labelled documents, in a fixed order."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "y").limit(most)  # bounded, so it is safe to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bits: int, chars: bool, most: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
+    """Sparse rows and labels of labelled documents in a fixed order: at most so many rows, and bytes of n-grams."""
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(most)  # bounded, so it is safe to broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_groups(whole):
                 found = sparse_rows(texts_of(batch), bits, chars)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y"), pa.array([x.astype(np.int32).tobytes() for x, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "x", "v"])
-
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(of, "doc_id long, y int, x binary, v binary").collect()
-    got.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) % (1 << 64), r.y))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([x.astype(np.int32).tobytes() for x, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "x", "v"])
+
+    order = [F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("x", "v")]
+    # The join may give a label many rows, so the number is bounded again, and then the bytes, over that number.
+    found = stored(rows.mapInArrow(of, "doc_id long, y int, x binary, v binary").orderBy(*order).limit(most), "sample")
+    sizes = found.withColumn("size", F.sum(F.octet_length("x") + F.octet_length("v")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    got = sizes.where(F.col("size") <= most_bytes).drop("size").collect()
+    got.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) % (1 << 64), r.y, r.x, r.v))
     return [(np.frombuffer(r.x, np.int32).astype(np.int64), np.frombuffer(r.v, np.float32).astype(float)) for r in got], np.array([r.y for r in got], float)
 
 

@@ -1,13 +1,15 @@
 """Quality rules: base counts, and a calibrated logistic model on hashed n-grams of words and characters (operator 2).
 
-Base counts are exact over the whole text. The model's rows are at most SAMPLE labelled documents; it is
-trained on three quarters of them and calibrated (Platt) on the rest. Texts are scored in Arrow batches
-against the fixed threshold KEEP: base_failed rows are dropped, and of the others those whose calibrated
-probability of label 1 is below KEEP.
-
-Defined cases: null text has no words (n_words 0, base_failed). 64-bit hashes of the words stand for them in
-the search for repeated 5-word windows. An empty table gives no rows; repeated rows are judged alike; without
-labels the model's probability is 0.5, which keeps.
+Base counts are exact over the whole text. The model's rows are at most SAMPLE labelled documents, and bytes as for
+the quality classifier; it is trained on three quarters of them and calibrated (Platt) on the rest. Texts are scored
+in Arrow batches against the fixed threshold KEEP: base_failed rows are dropped, and of the others those whose
+calibrated probability of label 1 is below KEEP.
+
+Defined cases: null and empty texts have no words (n_words 0, base_failed). Texts of any length are read whole, some
+megabytes at a time; a word takes 24 bytes, and 8 more in the search for repeated windows. 64-bit hashes of the words
+stand for them in that search. An empty table gives no rows; repeated rows are judged alike; a probability equal to
+KEEP is kept; without labels the model's probability is 0.5, which keeps. Other columns than doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
