@@ -512,7 +512,7 @@ def sampled_encodings(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPLES,
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in row_groups(whole, most_bytes=1 << 20):
+            for batch in row_groups(whole, most_bytes=1 << 19):
                 yield report(batch)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
