@@ -14,8 +14,8 @@ log-probability p has the inclusion score 1 - exp(-exp(p - kappa)), given as a l
 
 All uniforms are hashes of (row key, round, chunk, step), so samples depend on the row alone and not on batches,
 partitions or retries. The weights of a chunk's lattice are kept for the task process in a pool; when it holds more
-than POOL characters, the chunks in use stay and the others go. Results do not depend on it. All steps run in numpy
-over many texts.
+than POOL characters, the chunks in use stay and the others go. New chunks are added some ADDED characters at a time
+(more where chunks are long), which bounds the arrays that make their lattices. Results depend on neither. All steps run in numpy over many texts.
 
 Siblings deep in a text can be skipped exactly: uniforms have 52 bits, so Gumbel noise is below 37, and a node of
 log-probability p stays below p + 37. Where the values kept are not above that bound, all are drawn.
@@ -46,7 +46,7 @@ from .common import row_groups, texts_of
 from .ngrams import mix
 from .vocabulary import MARK, Vocabulary
 
-SAMPLES, SEED, POOL, LONGEST = 2, 7, 600_000, 1 << 16
+SAMPLES, SEED, POOL, LONGEST, ADDED = 2, 7, 600_000, 1 << 16, 1 << 15
 _U = np.uint64
 _STEP, _NEAR, _DEEP = _U(0x9E3779B97F4A7C15), -6.0, -6.0 - 37.0
 #: Stands for a mark that the text itself holds: no UTF-8 text decodes to it, and no piece has it.
@@ -139,11 +139,24 @@ def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """held with more after its first used values, in place where there is room."""
     end = used + len(more)
     if end > len(held):
-        held = np.concatenate([held[:used], np.empty(max(end, 2 * len(held)) - used, held.dtype)])
+        room = np.empty(max(end, 2 * len(held)), held.dtype)  # what is not yet used is not written, so takes no memory
+        room[:used] = held[:used]
+        held = room
     held[used:end] = more
     return held
 
 
+def _parts(chunks: list[str], most: int) -> Iterator[list[str]]:
+    """The chunks in order, in parts of about most characters, or 128 times the longest chunk's: a part takes as many
+    steps as its longest chunk has characters, so all parts together take one for every 128 characters at most, and
+    those of one part."""
+    size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    ends, most = np.cumsum(size), max(most, 128 * int(size.max(initial=0)))
+    at = [*np.flatnonzero(np.diff((ends - 1) // most, prepend=-1)).tolist(), len(chunks)]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield chunks[a:b]
+
+
 class Pool:
     """The lattices of chunks seen: by position its edges, by edge its length, piece and conditional log-probability."""
 
@@ -166,8 +179,8 @@ class Pool:
         """The chunks' numbers in the pool; new ones are added."""
         out = np.fromiter(map(self.words.__getitem__, chunks), np.int64, len(chunks))
         new, self.words.new = self.words.new, []
-        if new:
-            self._add(new)
+        for part in _parts(new, ADDED):
+            self._add(part)
         self.uses[: self.n_words] += np.bincount(out, minlength=self.n_words)
         return out
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -349,6 +350,28 @@ def test_a_small_pool_gives_the_same_samples(docs, vocab):
         assert pool.n_pos <= 250 + 500
 
 
+def test_new_chunks_are_added_in_parts_of_bounded_memory(vocab):
+    """Many new chunks take little more than what the pool holds of them, and get the lattices they have when added at once."""
+    rng = np.random.default_rng(8)
+    chunks = sorted({"▁" + bytes(w).decode() for w in rng.integers(97, 123, (60_000, 7), dtype=np.uint8)})
+    pool, whole = sentencepiece_lattice.Pool(vocab), sentencepiece_lattice.Pool(vocab)
+    tracemalloc.start()
+    try:
+        numbers = pool.numbers(chunks)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - held < 40 << 20
+    whole._add(chunks)
+    assert numbers.tolist() == list(range(len(chunks))) and (pool.n_words, pool.n_pos, pool.n_edges) == (whole.n_words, whole.n_pos, whole.n_edges)
+    for name, n in (("start", pool.n_words), ("size", pool.n_words), ("first", pool.n_pos + 1), ("length", pool.n_edges), ("piece", pool.n_edges), ("logp", pool.n_edges), ("cum", pool.n_edges)):
+        assert np.array_equal(getattr(pool, name)[:n], getattr(whole, name)[:n]), name
+    assert (pool.numbers(chunks[:3]) == [0, 1, 2]).all() and not len(pool.numbers([]))
+    long = ["▁" + "ab" * n for n in range(15_000, 15_040)]  # of 1.2 million characters: one part, as each takes 30,000 steps
+    assert [len(x) for x in sentencepiece_lattice._parts(long, sentencepiece_lattice.ADDED)] == [40]
+    assert [c for x in sentencepiece_lattice._parts([*chunks[:9], *long[:1], *chunks[9:]], 10) for c in x] == [*chunks[:9], *long[:1], *chunks[9:]]
+
+
 def test_a_text_without_spaces_of_ten_million_characters(vocab):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 123, 5000, dtype=np.uint8)) * 2000, b"x" * 200_000]
