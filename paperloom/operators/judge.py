@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from .planner import SHRINK
 BUCKETS = 4096
 
 RESULT = "doc_id long, name string, value string, confidence double, input_tokens long, error string"
+_ANSWERED = pa.schema([("doc_id", pa.int64()), ("name", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("input_tokens", pa.int64()), ("error", pa.string())])
+#: Bytes of text that are made into Python's strings at one time.
+PART = 1 << 20
 
 
 class Classifier(Protocol):
@@ -24,13 +29,27 @@ class Classifier(Protocol):
 
 
 def judge(requests: DataFrame, classifier: Classifier) -> DataFrame:
-    """Requests answered in Arrow batches on the executors. Only doc_id, name and state are sent to Python."""
+    """Requests answered in parts of Arrow batches on the executors. Only doc_id, name and state are sent to Python."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield classifier.judge_batch(batch)
-
-    return requests.select("doc_id", "name", "state").mapInPandas(of, RESULT)
+            for part in parts(batch, "state"):
+                answers = classifier.judge_batch(part.to_pandas())
+                yield pa.RecordBatch.from_pandas(answers[_ANSWERED.names], _ANSWERED, preserve_index=False)
+
+    return requests.select("doc_id", "name", "state").mapInArrow(of, RESULT)
+
+
+def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with about PART bytes of the column's text, one row at least: what Python makes of a slice is
+    bounded, however many long texts a batch has."""
+    ends = pc.cumulative_sum(pc.binary_length(batch.column(column)).fill_null(0).cast("int64")).to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(ends.searchsorted(before + PART, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 class SizeLimited:

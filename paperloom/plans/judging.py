@@ -12,11 +12,12 @@ import json
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import planner
+from ..operators.judge import parts
 from ..operators.planner import Ask, Capabilities
 from ..schema import SCHEMA_VERSION
 from ..streaming.runtime import shared_folder
@@ -24,6 +25,7 @@ from ..streaming.runtime import shared_folder
 ANSWER = "struct<value_str:string,value_num:double,probabilities:map<string,double>,confidence:double>"
 COVERAGE = "struct<sections:array<string>,spans:array<struct<start:int,end:int>>,page_ranges:array<struct<lo:int,hi:int>>,truncated:boolean,shrunk:boolean,est_tokens:long>"
 RESULT = "doc_id long, reads string, name string, coverage string, value_str string, value_num double, probabilities map<string,double>, confidence double, error string"
+_ANSWERED = pa.schema([(n, pa.float64() if n in ("value_num", "confidence") else pa.int64() if n == "doc_id" else pa.map_(pa.string(), pa.float64()) if n == "probabilities" else pa.string()) for n in (c.split()[0] for c in RESULT.split(", "))])
 WHOLE = "*"
 
 
@@ -121,10 +123,10 @@ def ask_classifier(todo: DataFrame, classifier: Answerer, asks: list[Ask]) -> Da
     """RESULT rows: one call a request, in Arrow batches; a failing request leaves the others alone."""
     known, columns = {a.name: a for a in asks}, [c.split()[0] for c in RESULT.split(", ")]
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, "state")):
             out = []
-            for r in batch.itertuples(index=False):
+            for r in batch.to_pandas().itertuples(index=False):
                 mine, error = {n: known[n] for n in r.names}, None
                 try:
                     got = classifier.answer(json.loads(r.state), mine)
@@ -133,9 +135,9 @@ def ask_classifier(todo: DataFrame, classifier: Answerer, asks: list[Ask]) -> Da
                 for n in mine:
                     x = got.get(n)
                     out.append((r.doc_id, r.reads, n, r.coverage, *((x or {}).get(c) for c in columns[4:8]), error if x is None and error else "missing_result" if x is None else None))
-            yield pd.DataFrame(out, columns=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), _ANSWERED.types)] if out else [pa.array([], t) for t in _ANSWERED.types], schema=_ANSWERED)
 
-    return todo.select("doc_id", "reads", "names", "state", "coverage").mapInPandas(of, RESULT)
+    return todo.select("doc_id", "reads", "names", "state", "coverage").mapInArrow(of, RESULT)
 
 
 def cache_keys(req: DataFrame, asks: list[Ask], caps: Capabilities) -> DataFrame:
